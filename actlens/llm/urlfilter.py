@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from actlens.llm.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HEAD = struct.Struct("<8sQQQ")
+_HEAD = "<8sQQQ"
 _MAGIC = b"URLDIGS1"
 ALLOW, BLOCK = "allow", "block"
 
@@ -52,7 +52,7 @@ def build_index(rules: Iterable[tuple[str, str]], digest=None) -> bytes:
     ends = np.cumsum([0, *map(len, texts)], dtype="<u8")
     verdicts = np.array([by_rule[r] == BLOCK for _, r in rows], "u1")
     keys = np.array([k for k, _ in rows], "<u8")
-    return b"".join([_HEAD.pack(_MAGIC, len(rows), len(lengths), int(ends[-1])), keys.tobytes(), ends.tobytes(), lengths.tobytes(), verdicts.tobytes(), *texts])
+    return b"".join([struct.pack(_HEAD, _MAGIC, len(rows), len(lengths), int(ends[-1])), keys.tobytes(), ends.tobytes(), lengths.tobytes(), verdicts.tobytes(), *texts])
 
 
 class DigestArray:
@@ -61,10 +61,10 @@ class DigestArray:
     def __init__(self, path: str, digest=None):
         self.digest = digest or xxhash.xxh64_intdigest
         with open(path, "rb") as f:
-            magic, n, m, size = _HEAD.unpack(f.read(_HEAD.size))
+            magic, n, m, size = struct.unpack(_HEAD, f.read(struct.calcsize(_HEAD)))
         if magic != _MAGIC:
             raise ValueError(f"not an index: {path}")
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
 
         def view(dtype: str, count: int):
             nonlocal at
