@@ -130,7 +130,9 @@ def write_archives(
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    small = rows.where(F.octet_length("html") <= sample_record_bytes).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample_records)
+    rank, fits = F.xxhash64("page_id", "html"), F.octet_length("html") <= sample_record_bytes
+    ranks = [r[0] for r in rows.where(fits).select(rank.alias("r")).orderBy("r").limit(sample_records).collect()]  # tasks send ranks, not records
+    small = rows.where(fits & rank.isin(ranks)).dropDuplicates(["page_id", "html"]).orderBy(rank, "page_id").limit(sample_records) if ranks else rows.limit(0)
     samples = [record_bytes(r.page_id, r.url, r.html.encode(), None, False, date) for r in small.collect()]
     dictionary = train_dictionary(samples, dictionary_bytes)
     keyed = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary")))
