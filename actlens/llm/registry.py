@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from actlens.llm import queries_media as q10
+from actlens.llm import queries_near as q7
 from actlens.llm import queries_urlfilter as q1
 from actlens.llm import queries_warc as q8
 
 
 def queries() -> dict:
-    return {"op1_url_filter": q1.op1_url_filter, "op8_warc": q8.op8_warc, "op10_media_columns": q10.op10_media_columns}
+    return {"op1_url_filter": q1.op1_url_filter, "op7_ngram_jaccard": q7.op7_ngram_jaccard, "op8_warc": q8.op8_warc, "op10_media_columns": q10.op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": q1.OP1_SQL, "op8_warc": q8.OP8_SQL}
+    return {"op1_url_filter": q1.OP1_SQL, "op7_ngram_jaccard": q7.OP7_SQL, "op8_warc": q8.OP8_SQL}
