@@ -208,4 +208,5 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    return names.mapInArrow(read, schema)
+    # One archive for each task: they are large, and adaptive execution would put their short names together.
+    return names.repartition(max(1, names.count())).mapInArrow(read, schema)
