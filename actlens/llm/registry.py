@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from actlens.llm import queries_html as q4
+from actlens.llm import queries_language as q5
 from actlens.llm import queries_media as q10
 from actlens.llm import queries_near as q7
+from actlens.llm import queries_quality as q3
 from actlens.llm import queries_urlfilter as q1
 from actlens.llm import queries_warc as q8
 
 
 def queries() -> dict:
-    return {"op1_url_filter": q1.op1_url_filter, "op7_ngram_jaccard": q7.op7_ngram_jaccard, "op8_warc": q8.op8_warc, "op10_media_columns": q10.op10_media_columns}
+    return {
+        "op1_url_filter": q1.op1_url_filter,
+        "op3_quality": q3.op3_quality,
+        "op4_html_text": q4.op4_html_text,
+        "op5_language_id": q5.op5_language_id,
+        "op7_ngram_jaccard": q7.op7_ngram_jaccard,
+        "op8_warc": q8.op8_warc,
+        "op10_media_columns": q10.op10_media_columns,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """Queries that learn a model, or whose answer SQL can't state, have none."""
     return {"op1_url_filter": q1.OP1_SQL, "op7_ngram_jaccard": q7.OP7_SQL, "op8_warc": q8.OP8_SQL}
