@@ -7,6 +7,7 @@ from actlens.llm import queries_language as q5
 from actlens.llm import queries_media as q10
 from actlens.llm import queries_near as q7
 from actlens.llm import queries_quality as q3
+from actlens.llm import queries_substring as q9
 from actlens.llm import queries_urlfilter as q1
 from actlens.llm import queries_warc as q8
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_language_id": q5.op5_language_id,
         "op7_ngram_jaccard": q7.op7_ngram_jaccard,
         "op8_warc": q8.op8_warc,
+        "op9_substring_dedup": q9.op9_substring_dedup,
         "op10_media_columns": q10.op10_media_columns,
     }
 
