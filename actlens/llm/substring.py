@@ -6,7 +6,7 @@ smallest document that has it; every other document with it matches that one pla
 that any number of documents share costs one match a document and seed, never a pair of documents.
 Seeds that a large share of a sample of documents have are matched where they arise, against a
 broadcast table of their sources; the bound on its size is ``1 / hot_share`` times the seeds of a
-document. All others meet in sorted order and are streamed.
+document. All others meet in sorted order and are streamed; matched ones pass through, dealt evenly.
 
 The matches of a document with one source are merged into diagonal pieces, and those chained in
 order by a Fenwick tree of prefix maxima, with costs for what a gap skips on either side. A chain's
@@ -87,31 +87,61 @@ def seeds(w: Words, hasher: Hasher, rules: Rules) -> tuple[np.ndarray, np.ndarra
     return mix(h + rank * U64(0x9E3779B97F4A7C15)), doc, pos
 
 
-def seed_rows(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(key, doc_id, pos) of the seeds of all documents."""
+SEED = "key long, doc_id long, pos long, source long"
+
+
+def seed_rows(docs: DataFrame, rules: Rules, hot=None, heads=None) -> DataFrame:
+    """(key, doc_id, pos, source) of the seeds of all documents; source is null.
+
+    With ``hot``, a broadcast sorted array of keys, only their seeds are made. With ``heads`` as well, broadcast
+    arrays of their sources (doc_id, pos), all seeds are made, and those of hot keys are matches: source is set,
+    pos also holds the source's place in its upper half, and key is spread evenly; the sources' own are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
             for at, data, offsets in text_parts(b.column("text")):
                 key, doc, pos = seeds(hasher.words(data, offsets), hasher, rules)
-                if len(key):
-                    ids = b.column("doc_id").slice(at, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(pos.astype(np.int32))], names=["key", "doc_id", "pos"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, pos int")
+                if not len(key):
+                    continue
+                key, ids = key.view(np.int64), b.column("doc_id").slice(at, len(offsets) - 1).to_numpy(zero_copy_only=False)[doc]
+                source, none = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+                if hot is not None:
+                    slot = np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)
+                    inside = hot.value[slot] == key
+                    if heads is None:
+                        key, ids, pos, source, none = key[inside], ids[inside], pos[inside], source[inside], none[inside]
+                    else:
+                        source, none = np.where(inside, heads.value[0][slot], 0), ~inside
+                        pos = np.where(inside, pos | (heads.value[1][slot] << 32), pos)
+                        key = np.where(inside, mix((key ^ ids ^ pos).view(np.uint64)).view(np.int64), key)
+                        rest = none | (source != ids)
+                        key, ids, pos, source, none = key[rest], ids[rest], pos[rest], source[rest], none[rest]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos), pa.array(source, mask=none)], names=["key", "doc_id", "pos", "source"])
+
+    return docs.mapInArrow(run, SEED)
 
 
 MATCH = "doc_id long, source long, pos int, source_pos int"
 
 
 def first_matches(sorted_seeds: DataFrame) -> DataFrame:
-    """Matches of each seed with the first one of its key, from a stream sorted by key, doc_id and pos."""
+    """Matches of each seed with the first one of its key, from a stream sorted by key, doc_id and pos.
+
+    Rows with a source are matches already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
+        names = ["doc_id", "source", "pos", "source_pos"]
         for b in batches:
-            key, doc, pos = (b.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+            done = b.column("source").is_valid().to_numpy(zero_copy_only=False)
+            if done.any():
+                part = b.filter(pa.array(done))
+                both = part.column("pos").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array((both & 0xFFFFFFFF).astype(np.int32)), pa.array((both >> 32).astype(np.int32))], names=names)
+            key, doc, pos = (b.column(c).to_numpy()[~done] for c in ("key", "doc_id", "pos"))
             if not len(key):
                 continue
             if head is not None:
@@ -124,7 +154,7 @@ def first_matches(sorted_seeds: DataFrame) -> DataFrame:
             last = first[-1]
             head = [x[last : last + 1] for x in (key, doc, pos)]
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[hit], doc[first[hit]], pos[hit], pos[first[hit]])], names=["doc_id", "source", "pos", "source_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(doc[first[hit]]), pa.array(pos[hit].astype(np.int32)), pa.array(pos[first[hit]].astype(np.int32))], names=names)
 
     return sorted_seeds.mapInArrow(run, MATCH)
 
@@ -363,29 +393,16 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
     rules = rules or Rules()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     spark = docs.sparkSession
-    rows = seed_rows(docs, rules)
-    often = scratch.save(hot_keys(docs, rules), "often")
-    hot = [r[0] for r in often.collect()]  # at most 1 / hot_share times the seeds of a document
-    if hot:
-        keys = np.array(sorted(hot), np.int64)
-        known = spark.sparkContext.broadcast(keys)
-
-        def only(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                key = b.column("key").to_numpy()
-                at = np.minimum(np.searchsorted(known.value, key), len(known.value) - 1)
-                yield b.filter(pa.array((known.value[at] == key) == inside))
-
-        schema = "key long, doc_id long, pos int"
-        hot_seeds = scratch.save(rows.mapInArrow(lambda it: only(it, True), schema), "hot-seeds")
-        heads = hot_seeds.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("head")).select("key", F.col("head.doc_id").alias("source"), F.col("head.pos").alias("source_pos"))
-        hot_matches = hot_seeds.join(F.broadcast(heads), "key").where("doc_id <> source").select("doc_id", "source", "pos", "source_pos").distinct()
-        rows = rows.mapInArrow(lambda it: only(it, False), schema)
-    matches = first_matches(rows.repartition("key").sortWithinPartitions("key", "doc_id", "pos"))
-    matches = matches.union(hot_matches) if hot else matches
-    matches = scratch.save(matches, "matches")
+    keys = sorted(r[0] for r in hot_keys(docs, rules).collect())  # at most 1 / hot_share times the seeds of a document
+    hot = heads = None
+    if keys:
+        hot = spark.sparkContext.broadcast(np.array(keys, np.int64))
+        first = seed_rows(docs, rules, hot).groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("key", "x.doc_id", "x.pos").orderBy("key").collect()
+        heads = spark.sparkContext.broadcast(np.array([(r[1], r[2]) for r in first], np.int64).T)
+    rows = seed_rows(docs, rules, hot, heads).repartition("key").sortWithinPartitions("key", "doc_id", "pos")
+    matches = scratch.save(first_matches(rows), "matches")
     found = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains")
-    scratch.drop("matches", "hot-seeds")
+    scratch.drop("matches")
     words = scratch.save(word_arrays(docs, found.select("doc_id").union(found.select("source"))), "words")
     pad = rules.pad
 
@@ -426,8 +443,8 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
 def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of ``spans`` (doc_id, text_digest, start_word, n_words) and the space after them.
 
-    Other columns stay as they are, but ``n_chars``, if there, is counted anew where words went. A text of which
-    nothing is left is empty.
+    Other columns stay as they are, but ``n_chars``, if there, is counted anew where words went. Rows of whose
+    words none is left are left out; texts without words stay.
     """
     schema = docs.schema
     cut = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("text_digest", "start_word", "n_words")).alias("_cut"))  # a document's own
@@ -443,6 +460,7 @@ def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 continue
             texts = b.column("text").to_pylist()
             lengths = b.column("n_chars").to_pylist() if "n_chars" in schema.names else None
+            stay = np.ones(len(texts), bool)
             for i in rows.tolist():
                 if not texts[i]:
                     continue
@@ -460,10 +478,12 @@ def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     kept.append(raw[at : w.start[a]])
                     at = int(w.start[z]) if z < len(w.start) else len(raw)
                 kept.append(raw[at:])
-                texts[i] = "" if gone[:-1].all() else b"".join(kept).decode()
+                stay[i] = not gone[:-1].all()
+                texts[i] = b"".join(kept).decode()
                 if lengths is not None and lengths[i] is not None:
                     lengths[i] = len(texts[i])
             new = {"text": texts, **({"n_chars": lengths} if lengths is not None else {})}
-            yield pa.RecordBatch.from_arrays([pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in schema.names], names=schema.names)
+            out = pa.RecordBatch.from_arrays([pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in schema.names], names=schema.names)
+            yield out.filter(pa.array(stay))
 
     return joined.mapInArrow(run, schema)
