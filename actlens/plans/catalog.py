@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from actlens.plans import features, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**features.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**features.SQL, **texts.SQL}
