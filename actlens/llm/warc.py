@@ -156,7 +156,7 @@ def write_archives(
                         if out is not None:
                             out.close()
                         name, n = f"{stem}-{n:04d}.warc.zst", n + 1
-                        out = fs.open_output_stream(f"{base}/{name}")
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
                         out.write(head := dictionary_frame(dictionary))
                         at = len(head)
                     page_id, ref, raw = page_id.as_py(), ref.as_py(), html.as_py().encode()
@@ -197,7 +197,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         for b in batches:
             for uri in b.column("archive").to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     rows, size = [], 0
                     for raw in read_records(f):
                         rows.append(parse_record(raw))
