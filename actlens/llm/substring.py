@@ -2,11 +2,13 @@
 
 Seeds are robust winnowing's choice of word k-mers, each with its rank among equal k-mers of its
 document, so that a text which repeats itself still has distinct seeds. A seed's source is the
-smallest document that has it; every other document with it matches that one place, so a passage
+smallest document that has its k-mer at its rank, or, if no earlier one repeats it as often, the last
+such place of the earlier ones; every other document with it matches that one place, so a passage
 that any number of documents share costs one match a document and seed, never a pair of documents.
 Seeds that a large share of a sample of documents have are matched where they arise, against a
-broadcast table of their sources; the bound on its size is ``1 / hot_share`` times the seeds of a
-document. All others meet in sorted order and are streamed; matched ones pass through, dealt evenly.
+broadcast table of their sources; the bound on its keys is ``1 / hot_share`` times the seeds of a
+document, and a key has as many places as the document that repeats it most. All others meet in
+sorted order and are streamed; matched ones pass through, dealt evenly.
 
 The matches of a document with one source are merged into diagonal pieces, and those chained in
 order by a Fenwick tree of prefix maxima, with costs for what a gap skips on either side. A chain's
@@ -56,16 +58,16 @@ class Rules:
         return max(self.k, self.min_words - 2 * (self.k + self.window))
 
 
-def seeds(w: Words, hasher: Hasher, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row of the text, first word in it) of each seed."""
+def seeds(w: Words, hasher: Hasher, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row of the text, first word in it, rank among equal keys of the text) of each seed."""
     k, window = rules.k, rules.window
     none = np.zeros(0, np.int64)
     n = len(w.digest)
     if n < k:
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     at = np.flatnonzero(w.doc[: n - k + 1] == w.doc[k - 1 :])
     if not len(at):
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     h = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
         h += w.digest[j : n - k + 1 + j] * hasher.factors[j]
@@ -82,27 +84,40 @@ def seeds(w: Words, hasher: Hasher, rules: Rules) -> tuple[np.ndarray, np.ndarra
     same = np.zeros(len(order), bool)
     same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = (np.arange(len(order)) - start).astype(np.uint64)
-    return mix(h + rank * U64(0x9E3779B97F4A7C15)), doc, pos
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - start
+    return mix(h), doc, pos, rank
+
+
+def below(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For places of keys in order of key and rank, the last one of the same key in a smaller document, or -1.
+
+    Documents ascend with the rank, as a document that has a rank has all smaller ones.
+    """
+    if not len(key):
+        return np.zeros(0, np.int64)
+    cut = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+    start = np.maximum.accumulate(np.where(cut, np.arange(len(key)), 0))
+    return np.where((start > 0) & (key[start - 1] == key), start - 1, -1)
 
 
 SEED = "key long, doc_id long, pos long, source long"
 
 
 def seed_rows(docs: DataFrame, rules: Rules, hot=None, heads=None) -> DataFrame:
-    """(key, doc_id, pos, source) of the seeds of all documents; source is null.
+    """(key, doc_id, pos, source) of the seeds of all documents; source is null, pos has the rank in its upper half.
 
     With ``hot``, a broadcast sorted array of keys, only their seeds are made. With ``heads`` as well, broadcast
-    arrays of their sources (doc_id, pos), all seeds are made, and those of hot keys are matches: source is set,
-    pos also holds the source's place in its upper half, and key is spread evenly; the sources' own are left out.
+    arrays of their places (doc_id, pos, place below) for each rank and where each key's begin, all seeds are made,
+    and those of hot keys are matches: source is set, pos holds the source's place in its upper half, and key is
+    spread evenly; seeds without a source are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
             for at, data, offsets in text_parts(b.column("text")):
-                key, doc, pos = seeds(hasher.words(data, offsets), hasher, rules)
+                key, doc, pos, rank = seeds(hasher.words(data, offsets), hasher, rules)
                 if not len(key):
                     continue
                 key, ids = key.view(np.int64), b.column("doc_id").slice(at, len(offsets) - 1).to_numpy(zero_copy_only=False)[doc]
@@ -111,13 +126,17 @@ def seed_rows(docs: DataFrame, rules: Rules, hot=None, heads=None) -> DataFrame:
                     slot = np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)
                     inside = hot.value[slot] == key
                     if heads is None:
-                        key, ids, pos, source, none = key[inside], ids[inside], pos[inside], source[inside], none[inside]
+                        key, ids, pos, rank, source, none = key[inside], ids[inside], pos[inside], rank[inside], source[inside], none[inside]
                     else:
-                        source, none = np.where(inside, heads.value[0][slot], 0), ~inside
-                        pos = np.where(inside, pos | (heads.value[1][slot] << 32), pos)
-                        key = np.where(inside, mix((key ^ ids ^ pos).view(np.uint64)).view(np.int64), key)
-                        rest = none | (source != ids)
-                        key, ids, pos, source, none = key[rest], ids[rest], pos[rest], source[rest], none[rest]
+                        (at_doc, at_pos, lower), begin = heads.value
+                        place = np.where(inside, begin[slot] + rank, 0)
+                        place = np.where(at_doc[place] == ids, lower[place], place)  # a place of its own
+                        source, none = np.where(inside, at_doc[place], 0), ~inside
+                        rank = np.where(inside, at_pos[place], rank)
+                        key = np.where(inside, mix((key ^ ids ^ pos ^ (rank << 32)).view(np.uint64)).view(np.int64), key)
+                        rest = none | (place >= 0)
+                        key, ids, pos, rank, source, none = key[rest], ids[rest], pos[rest], rank[rest], source[rest], none[rest]
+                pos = pos | (rank << 32)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos), pa.array(source, mask=none)], names=["key", "doc_id", "pos", "source"])
 
     return docs.mapInArrow(run, SEED)
@@ -127,9 +146,10 @@ MATCH = "doc_id long, source long, pos int, source_pos int"
 
 
 def first_matches(sorted_seeds: DataFrame) -> DataFrame:
-    """Matches of each seed with the first one of its key, from a stream sorted by key, doc_id and pos.
+    """Matches of each seed with the first one of its key and rank, from a stream sorted by key, doc_id and pos.
 
-    Rows with a source are matches already.
+    The first one of a rank matches the last place of its key in a smaller document. Rows with a source are
+    matches already. What is held of a key is one place for each rank.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +164,25 @@ def first_matches(sorted_seeds: DataFrame) -> DataFrame:
             key, doc, pos = (b.column(c).to_numpy()[~done] for c in ("key", "doc_id", "pos"))
             if not len(key):
                 continue
+            held = 0
             if head is not None:
+                held = len(head[0])
                 key, doc, pos = (np.concatenate(x) for x in zip(head, (key, doc, pos), strict=True))
-            start = np.concatenate(([True], key[1:] != key[:-1]))
-            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+            rank = pos >> 32
+            order = np.lexsort((np.arange(len(key)) >= held, doc, rank, key))
+            new, key, doc, pos, rank = order >= held, key[order], doc[order], pos[order] & 0xFFFFFFFF, rank[order]
+            start = np.concatenate(([True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])))
+            places = np.flatnonzero(start)
+            at = np.cumsum(start) - 1
             again = np.zeros(len(key), bool)  # rows repeated with one doc_id
             again[1:] = ~start[1:] & (doc[1:] == doc[:-1])
-            hit = np.flatnonzero((doc != doc[first]) & ~again)
-            last = first[-1]
-            head = [x[last : last + 1] for x in (key, doc, pos)]
+            at = np.where(doc == doc[places[at]], below(key[places], doc[places])[at], at)
+            hit = np.flatnonzero(new & (at >= 0) & ~again)
+            first = places[at[hit]]
+            last = places[key[places] == key[-1]]
+            head = [x[last] for x in (key, doc, pos | (rank << 32))]
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(doc[first[hit]]), pa.array(pos[hit].astype(np.int32)), pa.array(pos[first[hit]].astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(doc[first]), pa.array(pos[hit].astype(np.int32)), pa.array(pos[first].astype(np.int32))], names=names)
 
     return sorted_seeds.mapInArrow(run, MATCH)
 
@@ -171,7 +199,11 @@ def hot_keys(docs: DataFrame, rules: Rules, sample: int = 10_000) -> DataFrame:
 
 
 def chain(pieces: np.ndarray, rules: Rules) -> list[np.ndarray]:
-    """Chains of diagonal pieces (start, end, source start), ascending by start; best first, each piece once."""
+    """Chains of diagonal pieces (start, end, source start), ascending by start, each piece once.
+
+    A chain is cut where a gap is over ``max_gap``. Of the chains that share pieces the best is taken, and what
+    it leaves is chained again, so a passage that repeats while its source doesn't costs no round for each copy.
+    """
     out = []
     left = pieces
     while len(left):
@@ -202,14 +234,27 @@ def chain(pieces: np.ndarray, rules: Rules) -> list[np.ndarray]:
             gain = best - c * float(x[i] + y[i])
             score[i] = float(x_end[i] - x[i]) + max(0.0, gain)
             back[i] = j if gain > 0 else -1
-        i = int(np.argmax(score))
-        path = []
-        while i >= 0:
-            path.append(i)
-            i = back[i]
-        path.reverse()
-        out.append(left[path])
-        left = np.delete(left, path, axis=0)
+        to = np.array(back)
+        far = np.flatnonzero(to >= 0)
+        far = far[np.maximum(x[far] - x_end[to[far]], y[far] - y_end[to[far]]) > rules.max_gap]
+        to[far] = -1
+        back, root = to.tolist(), list(range(n))
+        for i in range(n):
+            if back[i] >= 0:
+                root[i] = root[back[i]]
+        taken, gone = set(), np.zeros(n, bool)
+        for i in np.argsort(-np.array(score), kind="stable").tolist():
+            if root[i] in taken:
+                continue
+            taken.add(root[i])
+            path = []
+            while i >= 0:
+                path.append(i)
+                i = back[i]
+            path.reverse()
+            gone[path] = True
+            out.append(left[path])
+        left = left[~gone]
     return out
 
 
@@ -240,12 +285,10 @@ def chains(sorted_matches: DataFrame, rules: Rules) -> DataFrame:
         span = pos[end - 1] + rules.k - pos[start]
         for a, b in zip(start[span >= rules.least_chain], end[span >= rules.least_chain], strict=True):
             pieces = pieces_of(pos[a:b], source_pos[a:b], rules.k, rules.max_gap)
-            for path in chain(pieces, rules) if len(pieces) > 1 else [pieces]:
-                gap = np.maximum(path[1:, 0] - path[:-1, 1], path[1:, 2] - (path[:-1, 2] + path[:-1, 1] - path[:-1, 0]))
-                for part in np.split(path, np.flatnonzero(gap > rules.max_gap) + 1):
-                    x0, x1 = int(part[0, 0]), int(part[-1, 1])
-                    if x1 - x0 >= rules.least_chain:
-                        yield int(doc[a]), int(source[a]), x0, x1, int(part[0, 2]), int(part[-1, 2] + part[-1, 1] - part[-1, 0]), part.astype(np.int32).tobytes()
+            for part in chain(pieces, rules) if len(pieces) > 1 else [pieces]:
+                x0, x1 = int(part[0, 0]), int(part[-1, 1])
+                if x1 - x0 >= rules.least_chain:
+                    yield int(doc[a]), int(source[a]), x0, x1, int(part[0, 2]), int(part[-1, 2] + part[-1, 1] - part[-1, 0]), part.astype(np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -397,8 +440,10 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
     hot = heads = None
     if keys:
         hot = spark.sparkContext.broadcast(np.array(keys, np.int64))
-        first = seed_rows(docs, rules, hot).groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("key", "x.doc_id", "x.pos").orderBy("key").collect()
-        heads = spark.sparkContext.broadcast(np.array([(r[1], r[2]) for r in first], np.int64).T)
+        rank = F.shiftright("pos", 32).alias("rank")
+        first = seed_rows(docs, rules, hot).groupBy("key", rank).agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("key", "x.doc_id", "x.pos").orderBy("key", "rank").collect()
+        key, at_doc, at_pos = (np.array(x, np.int64) for x in zip(*first, strict=True))
+        heads = spark.sparkContext.broadcast((np.stack((at_doc, at_pos & 0xFFFFFFFF, below(key, at_doc))), np.searchsorted(key, np.array(keys, np.int64))))
     rows = seed_rows(docs, rules, hot, heads).repartition("key").sortWithinPartitions("key", "doc_id", "pos")
     matches = scratch.save(first_matches(rows), "matches")
     found = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains")

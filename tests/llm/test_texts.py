@@ -186,6 +186,34 @@ def test_passages_hot_seeds(spark):
     assert {s.doc_id for s in rows} == set(range(3, 120, 2)) and {s.source_doc_id for s in rows} == {1}
 
 
+def uncovered(texts, rows):
+    """(doc, word) of each exact run of 50 words that an earlier text has and no row's span holds."""
+    held, first, out = collections.defaultdict(set), {}, []
+    for s in rows:
+        held[s.doc_id] |= set(range(s.start_word, s.start_word + s.n_words - 49))
+    for i, t in enumerate(texts):
+        w = words(t)
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) != i and j not in held[i]:
+                out.append((i, j))
+    return out
+
+
+@pytest.mark.parametrize("others", [0, 120])
+def test_passages_repeated_more_often_than_in_the_source(spark, others):
+    r, v = random.Random(11), vocabulary(2000, 8)
+    new = lambda n: " ".join(r.choice(v) for _ in range(n))
+    p = new(55)
+    texts = [new(40), f"{new(3)} {p} {new(20)}", " ".join(f"{p} {new(k % 3)}" for k in range(13)), f"{p} {new(9)} {p}"]
+    texts += [f"{new(5)} {p} {new(5)} {p}" for _ in range(others)]  # with others, the seeds are hot
+    rows = substring.passages(frame(spark, texts), Scratch(spark, "t")).collect()
+    assert not [x for x in uncovered(texts, rows) if x[0] < 4]
+    assert sum(s.doc_id == 2 and s.source_doc_id == 1 for s in rows) >= 13
+    out = substring.remove_passages(frame(spark, texts), substring.passages(frame(spark, texts), Scratch(spark, "t"))).collect()
+    kept = {x.doc_id: x.text for x in out}
+    assert not any(p in kept.get(i, "") for i in (2, 3))
+
+
 def test_remove_passages(spark):
     r, v = random.Random(3), vocabulary(2000, 4)
     p = " ".join(r.choice(v) for _ in range(60))
