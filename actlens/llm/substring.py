@@ -15,6 +15,11 @@ order by a Fenwick tree of prefix maxima, with costs for what a gap skips on eit
 surroundings in both documents are then aligned word by word; maximal scoring stretches of at least
 ``min_words`` words are the passages, exact or fuzzy. A chain may thus bridge words whose own seeds
 have another source.
+
+A run of words whose seeds fall to several sources may have no chain. Any run of ``min_words`` words
+that an earlier document has lies in a stretch where all seeds have some source, so the windows of
+such stretches with at least ``k`` words outside all passages are looked up by their digests in all
+documents. Fewer words, as where another document happens to go on with the same word, stay.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlens.llm.bloom import bloom_bytes, maybe
+from actlens.llm.bloom import BITS, bloom_bytes, maybe
 from actlens.llm.scratch import Scratch
 from actlens.llm.words import U64, Hasher, Words, mix, text_parts
 
@@ -275,11 +280,19 @@ CHAIN = "doc_id long, source long, x0 int, x1 int, y0 int, y1 int, pieces binary
 def chains(sorted_matches: DataFrame, rules: Rules) -> DataFrame:
     """Chains long enough for a passage, from matches sorted by doc_id, source and pos.
 
-    Rows held are those of one document, whose length bounds them.
+    Rows without a source are stretches of matches of any source: windows of ``min_words`` words from x0 up to x1
+    are the only ones that an earlier document may have. Rows held are those of one document, whose length bounds them.
     """
 
     def of_doc(cols: list[np.ndarray]) -> Iterator[tuple]:
         doc, source, pos, source_pos = cols
+        for p in np.split(np.arange(len(doc)), np.flatnonzero(doc[1:] != doc[:-1]) + 1):
+            places = np.unique(pos[p])
+            cut = np.flatnonzero(np.diff(places) > rules.window)  # seeds of a text are no farther apart
+            begin = np.maximum(0, places[np.append(0, cut + 1)] - rules.window + 1)
+            last = places[np.append(cut, -1)] - (rules.min_words - rules.k + 1 - rules.window)
+            for x0, x1 in zip(begin[last >= begin].tolist(), last[last >= begin].tolist(), strict=True):
+                yield int(doc[p[0]]), None, x0, x1 + rules.min_words, None, None, None
         start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]))))
         end = np.append(start[1:], len(doc))
         span = pos[end - 1] + rules.k - pos[start]
@@ -420,6 +433,105 @@ def stretches(match: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
     return out
 
 
+def window_digests(hasher: Hasher, short: np.ndarray, n: int) -> np.ndarray:
+    """Digests of all windows of ``n`` words, from the words' 32-bit digests."""
+    if len(short) < n:
+        return np.zeros(0, np.int64)
+    up, down = hasher._powers(len(short))
+    sums = np.zeros(len(short) + 1, np.uint64)
+    np.cumsum(mix(short.astype(np.uint64) + U64(1)) * up, out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * down[: len(short) - n + 1]).view(np.int64)
+
+
+def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, words: DataFrame, scratch: Scratch, rules: Rules) -> DataFrame | None:
+    """Passages of equal words for the windows of ``stretches`` with at least ``k`` words outside ``spans``.
+
+    A window's source is the smallest document that has it; where it begins there first, both texts are compared on
+    either side as far as they agree. None if no window is open.
+    """
+    n = rules.min_words
+    own = stretches.select("doc_id", F.col("x0").alias("a"), (F.col("x1") - n).alias("b"), F.lit(False).alias("held"))
+    own = own.union(spans.select("doc_id", "start_word", F.col("start_word") + F.col("n_words") - n, F.lit(True)))
+    own = own.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "held")).alias("own"))  # a document's own
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, windows = [], []
+            for d, x in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist(), strict=True):
+                size = max(r["b"] for r in x) + 1
+                free, outside = np.zeros(size, bool), np.ones(size + n - 1, np.int64)
+                for r in x:
+                    if r["held"]:
+                        outside[r["a"] : r["b"] + n] = 0
+                    else:
+                        free[r["a"] : r["b"] + 1] = True
+                left = np.concatenate(([0], np.cumsum(outside)))
+                free &= left[n:] - left[:-n] >= rules.k
+                if free.any():
+                    ids.append(d)
+                    windows.append(np.flatnonzero(free).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(windows, pa.binary())], names=["doc_id", "windows"])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            for d, at, w in zip(b.column("doc_id").to_pylist(), b.column("windows"), b.column("words"), strict=True):
+                at, w = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.uint32)
+                at = at[at <= len(w) - n]
+                yield pa.RecordBatch.from_arrays([pa.array(window_digests(hasher, w, n)[at]), pa.array(np.full(len(at), d, np.int64)), pa.array(at)], names=["digest", "doc_id", "pos"])
+
+    wanted = scratch.save(own.mapInArrow(rest, "doc_id long, windows binary").join(words, "doc_id").mapInArrow(digests, "digest long, doc_id long, pos int"), "open")
+    n_open = wanted.count()
+    if not n_open:
+        return None
+    bits = min(28, max(BITS, (8 * n_open).bit_length()))  # 32 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_bytes(wanted.select("digest"), bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bitmap = Hasher(), np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            for at, data, offsets in text_parts(b.column("text")):
+                w = hasher.words(data, offsets)
+                digest = window_digests(hasher, (w.digest >> U64(32)).astype(np.uint32), n)
+                if not len(digest):
+                    continue
+                found = np.flatnonzero(w.doc[: len(digest)] == w.doc[n - 1 :])
+                found = found[maybe(digest[found], bitmap, bits)]
+                row = w.doc[found]
+                ids = b.column("doc_id").slice(at, w.n_docs).to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(digest[found]), pa.array(ids), pa.array((found - w.first[row]).astype(np.int32))], names=["digest", "doc_id", "pos"])
+
+    heads = docs.mapInArrow(scan, "digest long, doc_id long, pos int").groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("head"))
+    hits = wanted.join(heads, "digest").where("head.doc_id < doc_id").groupBy("doc_id", F.col("head.doc_id").alias("source")).agg(F.collect_list(F.struct("pos", F.col("head.pos").alias("source_pos"))).alias("places"))
+    hits = scratch.save(hits, "hits")
+    both = scratch.save(word_arrays(docs, hits.select("doc_id").union(hits.select("source"))), "hit-words")
+    pairs = hits.join(both, "doc_id").join(both.select(F.col("doc_id").alias("source"), F.col("words").alias("theirs")), "source")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r, m, t in zip(b.drop_columns(["words", "theirs"]).to_pylist(), b.column("words"), b.column("theirs"), strict=True):
+                d, s = np.frombuffer(m.as_buffer(), np.uint32), np.frombuffer(t.as_buffer(), np.uint32)
+                done = -1  # the last window of the passages so far
+                for x, y in sorted((p["pos"], p["source_pos"]) for p in r["places"]):
+                    if x <= done or not np.array_equal(d[x : x + n], s[y : y + n]):
+                        continue  # the place is of another text under the source's doc_id
+                    before, after = min(x, y), min(len(d) - x, len(s) - y)
+                    other = np.flatnonzero(d[x - before : x] != s[y - before : y])
+                    left = before - (int(other[-1]) + 1 if len(other) else 0)
+                    other = np.flatnonzero(d[x : x + after] != s[y : y + after])
+                    right = int(other[0]) if len(other) else after
+                    rows.append((r["doc_id"], r["text_digest"], x - left, left + right, r["source"], y - left, left + right, left + right))
+                    done = x + right - n
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_digest", "start_word", "n_words", "source_doc_id", "source_start_word", "source_words", "matched"])
+
+    out = scratch.save(pairs.mapInArrow(extend, SPAN).distinct(), "exact-spans")
+    scratch.drop("open", "hits", "hit-words")
+    return out
+
+
 SPAN = "doc_id long, text_digest long, start_word int, n_words int, source_doc_id long, source_start_word int, source_words int, matched int"
 
 
@@ -428,7 +540,8 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
 
     One row for each passage and source: doc_id, text_digest, start_word, n_words and the source's
     doc_id, first word and words, with the number of equal words. Of all documents with a passage, the one with
-    the smallest doc_id has no row for it. Passages of one document may overlap.
+    the smallest doc_id has no row for it. Passages of one document may overlap. Of every run of
+    ``min_words`` equal words that an earlier document has, all words but fewer than ``k`` lie in them.
 
     Null and short texts have none. Rows with a null doc_id are left out. Rows with one doc_id are one
     document: if their texts differ, spans hold for that with the smallest digest.
@@ -446,9 +559,10 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
         heads = spark.sparkContext.broadcast((np.stack((at_doc, at_pos & 0xFFFFFFFF, below(key, at_doc))), np.searchsorted(key, np.array(keys, np.int64))))
     rows = seed_rows(docs, rules, hot, heads).repartition("key").sortWithinPartitions("key", "doc_id", "pos")
     matches = scratch.save(first_matches(rows), "matches")
-    found = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains")
+    linked = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains")
     scratch.drop("matches")
-    words = scratch.save(word_arrays(docs, found.select("doc_id").union(found.select("source"))), "words")
+    found, stretched = linked.where("source IS NOT NULL"), linked.where("source IS NULL").select("doc_id", "x0", "x1")
+    words = scratch.save(word_arrays(docs, linked.select("doc_id").union(found.select("source"))), "words")
     pad = rules.pad
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,8 +595,9 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), types, strict=True)], names=["doc_id", "text_digest", "start_word", "n_words", "source_doc_id", "source_start_word", "source_words", "matched"])
 
     spans = scratch.save(both.mapInArrow(measure, SPAN).distinct(), "spans")
+    exact = exact_passages(docs, stretched, spans, words, scratch, rules)
     scratch.drop("words", "chains")
-    return spans
+    return spans if exact is None else spans.union(exact)
 
 
 def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:

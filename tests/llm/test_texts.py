@@ -186,15 +186,19 @@ def test_passages_hot_seeds(spark):
     assert {s.doc_id for s in rows} == set(range(3, 120, 2)) and {s.source_doc_id for s in rows} == {1}
 
 
-def uncovered(texts, rows):
-    """(doc, word) of each exact run of 50 words that an earlier text has and no row's span holds."""
-    held, first, out = collections.defaultdict(set), {}, []
+def uncovered(texts, rows, spare=None):
+    """(doc, word) of each exact run of 50 words that an earlier text has and no row's span holds.
+
+    With ``spare``, those with more words than that outside all spans.
+    """
+    held, inside, first, out = collections.defaultdict(set), collections.defaultdict(set), {}, []
     for s in rows:
         held[s.doc_id] |= set(range(s.start_word, s.start_word + s.n_words - 49))
+        inside[s.doc_id] |= set(range(s.start_word, s.start_word + s.n_words))
     for i, t in enumerate(texts):
         w = words(t)
         for j in range(len(w) - 49):
-            if first.setdefault(tuple(w[j : j + 50]), i) != i and j not in held[i]:
+            if first.setdefault(tuple(w[j : j + 50]), i) != i and (j not in held[i] if spare is None else len(set(range(j, j + 50)) - inside[i]) > spare):
                 out.append((i, j))
     return out
 
@@ -214,6 +218,26 @@ def test_passages_repeated_more_often_than_in_the_source(spark, others):
     assert not any(p in kept.get(i, "") for i in (2, 3))
 
 
+def test_passages_of_several_sources(spark):
+    r, v = random.Random(12), vocabulary(2000, 8)
+    new = lambda n: " ".join(r.choice(v) for _ in range(n))
+    a, b = new(45), new(45)
+    texts = [new(30), f"{new(7)} {a}", f"{b} {new(9)}", f"{a} {b}", f"{new(5)} {a} {b} {new(4)}"]
+    for _ in range(6):  # runs whose parts are each in a smaller document
+        parts = [new(20) for _ in range(5)]
+        texts += [f"{new(6)} {x} {new(6)}" for x in parts] + [" ".join(parts), f"{new(3)} {' '.join(parts)} {new(3)}"]
+    texts += ["x " * 130, "x " * 120 + "y", "a b " * 80, "c " + "a b " * 200]  # and one word, without exemption
+    rows = substring.passages(frame(spark, texts), Scratch(spark, "t")).collect()
+    assert not uncovered(texts, rows, 5)
+    for s in rows:
+        mine, theirs = words(texts[s.doc_id]), words(texts[s.source_doc_id])
+        assert s.source_doc_id < s.doc_id and s.n_words >= 50 and mine[s.start_word] == theirs[s.source_start_word]
+        assert s.matched < s.n_words or mine[s.start_word : s.start_word + s.n_words] == theirs[s.source_start_word : s.source_start_word + s.n_words]
+    assert {s.source_doc_id for s in rows if s.doc_id == 4} == {3} and not any(s.doc_id == 3 for s in rows)
+    texts = corpus()
+    assert not uncovered(texts, substring.passages(frame(spark, texts), Scratch(spark, "t")).collect(), 0)
+
+
 def test_remove_passages(spark):
     r, v = random.Random(3), vocabulary(2000, 4)
     p = " ".join(r.choice(v) for _ in range(60))
