@@ -5,7 +5,8 @@ them a link-adjusted number of characters for each tag. The subtree with the lar
 block children's densities is the core of the text, and the lowest density on its path up to ``body``
 the threshold: in every other subtree that reaches it, the one with the largest sum is text as well.
 All that the closest common ancestor of these holds is the main text, lists of links excepted; where
-that ancestor is ``body``, only those of its children that hold a part of the text.
+that ancestor is ``body``, only those of its children that hold a part of the text, unless ``body`` itself
+is the subtree with the largest sum: the text's blocks then stand in it directly, and all are taken.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def main_text(page: str) -> str:
             blocks.append(text)
         piece.clear()
 
-    whole = best.name not in ("#root", "html", "body") or len(marked) == 1 or not best.total
+    whole = best.name not in ("#root", "html", "body") or best is root.top or len(marked) == 1 or not best.total
     todo = [best]
     while todo:
         x = todo.pop()

@@ -88,6 +88,14 @@ def test_main_text(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == sorted([(i, t, len(t)) for i, (_, t) in enumerate(PAGES)] + [(99, "", 0), (0, "", 0)])
 
 
+def test_flat_pages():
+    parts = ["h" * 30, *("p" * 99 + str(i) for i in range(10)), "q" * 1000]
+    blocks = "<h1>" + parts[0] + "</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+    links = "<ul>" + "".join(f"<li><a href=x>link {i}</a></li>" for i in range(9)) + "</ul>"
+    for page in (f"<body>{blocks}</body>", f"<html><head><title>t</title></head><body>{links}{blocks}<footer>f</footer></body></html>", blocks):
+        assert main_text(page) == "\n".join(parts), page
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000 + "deep", "<p>" * 5000 + "x", "<a <b <c \"", "<", "</", "&", "<table><tr><td>a<td>b", "<!--", "<script>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(main_text(page), str)
