@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size over long keys, built on executors and merged as bitmaps."""
+"""A Bloom filter of fixed size over long keys, built on executors and merged by words of 64 bits."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from actlens.llm.words import U64, mix
 
@@ -21,29 +22,23 @@ def positions(keys: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
 def bloom_bytes(keys: DataFrame, bits: int = BITS) -> bytes:
     """The filter of the one long column of ``keys``; nulls are left out.
 
-    What reaches the driver is one bitmap of 2**bits bits, merged pairwise on the executors first.
+    Tasks give words of 64 bits that aren't zero, which are merged by partial aggregation; what reaches the
+    driver is 2**bits / 64 rows at most.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
             x = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for p in positions(x, bits):
-                np.bitwise_or.at(bitmap, (p >> U64(3)).astype(np.int64), np.left_shift(1, (p & U64(7)).astype(np.uint8), dtype=np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bitmap.tobytes()], pa.binary())], names=["bitmap"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for b in batches:
-            for x in b.column(0):
-                x = np.frombuffer(x.as_buffer(), np.uint8)
-                out = x.copy() if out is None else np.bitwise_or(out, x, out=out)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bitmap"])
-
-    maps = keys.coalesce(8).mapInArrow(build, "bitmap binary")
-    rows = maps.coalesce(1).mapInArrow(merge, "bitmap binary").collect()
-    return bytes(rows[0][0]) if rows else bytes(1 << (bits - 3))
+            place = np.unique(np.concatenate(positions(x, bits)))
+            if len(place):
+                word, first = np.unique(place >> U64(6), return_index=True)
+                mask = np.bitwise_or.reduceat(U64(1) << (place & U64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    rows = keys.mapInArrow(build, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return bitmap.tobytes()
 
 
 def maybe(keys: np.ndarray, bitmap: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input for each task that writes a table of bounded size.
+PART = 32 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,8 +49,23 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes and rereads a table; the shuffle files that only this write needed go at once."""
+    def size(self, name: str) -> int:
+        """Bytes of a saved table."""
+        fs, where = self._fs(self.path(name))
+        return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+    def fit(self, df: DataFrame, of: tuple[str, ...], times: int = 1) -> DataFrame:
+        """``df`` in no more tasks than its size is worth.
+
+        ``of`` names saved tables; ``times`` their bytes bound those of ``df``. There is a task for each ``PART`` bytes of
+        that, or two a core if that is more, instead of one for each shuffle partition: no crowd of small files.
+        """
+        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, times * sum(map(self.size, of)) // PART + 1))
+
+    def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1) -> DataFrame:
+        """Writes and rereads a table, fitted to ``of`` if that is given; the shuffle files that only this write needed go at once."""
+        if of is not None:
+            df = self.fit(df, of, times)
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
