@@ -5,11 +5,17 @@ whose weighted similarity to an item can reach the threshold has at least that s
 among the item's; a fixed-size Bloom filter of (shingle, item length) finds the windows for which
 that is possible, and only these get a fingerprint: no similar window is lost by that.
 
-Fingerprints have ``BITS`` bits in ``BLOCKS`` blocks. Two fingerprints within ``radius`` bits differ by at
-most radius // BLOCKS bits in some block, so an item is entered under every key within that distance
-of each of its blocks, and a window finds all items within the radius by its own keys alone. The
-pairs are then verified by the exact weighted Jaccard similarity of their shingles, each shingle
-weighing as often as it occurs.
+Fingerprints have ``BLOCKS`` blocks of ``WIDTH`` bits. Two fingerprints within ``RADIUS`` bits differ by at most
+2 * ``REACH`` bits in some block, so some key within ``REACH`` of the one's block is within ``REACH`` of the other's:
+items are entered under all such keys, windows look all of theirs up, and every item within the radius is found.
+One block in 170 of random ones agrees that far, so under a tenth of unrelated pairs meet. Two windows of one size
+with similarity j share 2j / (1 + j) of their shingles, which is the cosine of their sums and gives the expected share
+of differing bits, 0.17 at 0.75; the radius is 3.7 standard deviations beyond that. Those that meet within the radius
+are verified by the exact weighted Jaccard similarity of their shingles, each shingle weighing as often as it occurs.
+
+Documents are scanned once, whatever the number of items; the windows found are kept as regions, the shingles that
+windows of one size cover. Items are then taken in parts of bounded size, by length, and each part is sent to the
+regions of its lengths.
 """
 
 from __future__ import annotations
@@ -27,41 +33,76 @@ from actlens.llm.bloom import bloom_bytes, maybe
 from actlens.llm.scratch import Scratch
 from actlens.llm.words import U64, Hasher, mix, text_parts
 
-BITS, BLOCKS = 128, 16
-WIDTH = BITS // BLOCKS
-RADIUS = 40
-#: Rows of the item index up to which it is broadcast: about 50 MB; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+WIDTH, BLOCKS, REACH = 20, 17, 2
+BITS = WIDTH * BLOCKS
+RADIUS = BLOCKS * (2 * REACH + 1) - 1
+#: Bytes of items and their index that are sent to the executors at once.
+PART_BYTES = 24 << 20
+MASKS = np.array([sum(1 << b for b in bits) for d in range(REACH + 1) for bits in combinations(range(WIDTH), d)], np.int32)
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each shingle and bit."""
-    two = np.stack((mix(shingles ^ U64(0x5851F42D4C957F2D)), mix(shingles ^ U64(0x14057B7EF767814F))), axis=1)
-    return np.unpackbits(two.view(np.uint8).reshape(len(shingles), 16), axis=1).astype(np.int8) * 2 - 1
+    words = np.stack([mix(shingles + U64((i * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % (1 << 64))) for i in range(-(-BITS // 64))], axis=1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(shingles), -1), axis=1)[:, :BITS].astype(np.int8) * 2 - 1
 
 
 def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints, as bytes of 16, of the windows of ``n`` shingles that begin at ``starts``, ascending."""
-    out = np.zeros((len(starts), BITS // 8), np.uint8)
+    """Fingerprints of the windows of ``n`` shingles that begin at ``starts``, ascending: a row of block keys each."""
+    out = np.zeros((len(starts), BLOCKS), np.int32)
     at = 0
     while at < len(starts):  # near windows share their sums
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + max(4096, n), "right")))
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + max(2048, n), "right")))
         low, high = int(starts[at]), int(starts[to - 1]) + n
         sums = np.zeros((high - low + 1, BITS), np.int32)
         np.cumsum(bit_signs(shingles[low:high]), axis=0, out=sums[1:], dtype=np.int32)
         s = starts[at:to] - low
-        out[at:to] = np.packbits(sums[s + n] - sums[s] > 0, axis=1)
+        out[at:to] = (sums[s + n] > sums[s]).reshape(to - at, BLOCKS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int32))
         at = to
     return out
 
 
-def length_keys(shingles: np.ndarray, words: int) -> np.ndarray:
-    return mix(shingles + U64(words * 0x9E3779B97F4A7C15 % (1 << 64)))
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of block keys differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def near_keys(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint, all keys within ``REACH`` of each of its blocks, with the block's number."""
+    return ((prints[:, :, None] ^ MASKS) | (np.arange(BLOCKS, dtype=np.int32) << WIDTH)[:, None]).reshape(len(prints), -1)
+
+
+class Index:
+    """Fingerprints of items of one length, found by the keys of their blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        keys = near_keys(prints).reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        self.prints, self.keys, self.item = prints, keys[order], (order // (BLOCKS * len(MASKS))).astype(np.int32)
 
+    def meeting(self, prints: np.ndarray) -> np.ndarray:
+        """Pairs (row, item) that share a key."""
+        found = []
+        for at in range(0, len(prints), 128):
+            probes = near_keys(prints[at : at + 128])
+            flat = probes.reshape(-1)
+            low, high = np.searchsorted(self.keys, flat), np.searchsorted(self.keys, flat, "right")
+            some = np.flatnonzero(high > low)
+            if len(some):
+                size = (high - low)[some]
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[some], size)
+                found.append(np.unique((np.repeat(some // probes.shape[1] + at, size) << 32) | self.item[place]))
+        both = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return np.stack((both >> 32, both & 0xFFFFFFFF), axis=1)
 
-def near_keys(key: int, distance: int) -> list[int]:
-    """All numbers of WIDTH bits within a Hamming distance."""
-    return [key ^ sum(1 << b for b in bits) for k in range(distance + 1) for bits in combinations(range(WIDTH), k)]
+    def near(self, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+        """Pairs (row, item) within ``radius``."""
+        pairs = self.meeting(prints)
+        return pairs[distance(prints[pairs[:, 0]], self.prints[pairs[:, 1]]) <= radius]
+
+
+def length_keys(shingles: np.ndarray, words: int) -> np.ndarray:
+    return mix(shingles + U64(words * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,7 +115,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def item_table(items: DataFrame, k: int) -> DataFrame:
-    """(item_id, n_words, fingerprint as two longs, shingles) of items with ``k`` words at least."""
+    """(item_id, words, shingles) of items with a word at least; fewer than ``k`` words are one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -82,16 +123,13 @@ def item_table(items: DataFrame, k: int) -> DataFrame:
             for at, data, offsets in text_parts(b.column("text")):
                 w = hasher.words(data, offsets)
                 doc, digest, _ = hasher.shingles(w, k)
-                ids = b.column("item_id").slice(at, w.n_docs).to_pylist()
-                rows = []
-                for i in np.flatnonzero(w.counts >= k):
-                    s = digest[doc == i]
-                    f = window_fingerprints(s, np.zeros(1, np.int64), len(s))[0].view(np.int64)
-                    rows.append((ids[i], int(w.counts[i]), int(f[0]), int(f[1]), s.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["item_id", "words", "f0", "f1", "item_shingles"])
+                bounds = np.searchsorted(doc, np.arange(w.n_docs + 1))
+                rows = [(i, digest[bounds[i] : bounds[i + 1]].tobytes()) for i in np.flatnonzero(w.counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("item_id").slice(at, w.n_docs).take(pa.array([i for i, _ in rows], pa.int64())), pa.array(w.counts[w.counts > 0], pa.int32()), pa.array([s for _, s in rows], pa.binary())], names=["item_id", "words", "shingles"]
+                )
 
-    return items.mapInArrow(run, "item_id long, words int, f0 long, f1 long, item_shingles binary")
+    return items.mapInArrow(run, "item_id long, words int, shingles binary")
 
 
 def item_keys(table: DataFrame) -> DataFrame:
@@ -99,121 +137,156 @@ def item_keys(table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, s in zip(b.column("words").to_pylist(), b.column("item_shingles"), strict=True):
+            for n, s in zip(b.column("words").to_pylist(), b.column("shingles"), strict=True):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((s, length_keys(s, n))).view(np.int64))], names=["key"])
 
     return table.mapInArrow(run, "key long")
 
 
-def block_rows(table: DataFrame, radius: int) -> DataFrame:
-    """(words, block, key, item_id, g0, g1): each item under all keys near its blocks."""
+REGION = "doc_id long, words int, first int, starts binary, shingles binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array(near_keys(0, radius // BLOCKS), np.int32)
-        for b in batches:
-            f = np.stack((b.column("f0").to_numpy(), b.column("f1").to_numpy()), axis=1)
-            keys = f.copy().view(np.uint8).reshape(len(f), BLOCKS).astype(np.int32)
-            near = keys[:, :, None] ^ masks  # item, block, key
-            each = BLOCKS * len(masks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(b.column("words").to_numpy(), each)), pa.array(np.tile(np.repeat(np.arange(BLOCKS, dtype=np.int32), len(masks)), len(f))), pa.array(near.reshape(-1)),
-                    pa.array(np.repeat(b.column("item_id").to_pandas().astype("Int64"), each), pa.int64()), pa.array(np.repeat(f[:, 0], each)), pa.array(np.repeat(f[:, 1], each)),
-                ],
-                names=["words", "block", "key", "item_id", "g0", "g1"],
-            )
 
-    return table.mapInArrow(run, "words int, block int, key int, item_id long, g0 long, g1 long")
+def regions(docs: DataFrame, bitmap: bytes, lengths: list[int], k: int, similarity: float) -> DataFrame:
+    """The places of each document that may be similar to an item of a length.
 
-
-def windows(docs: DataFrame, bitmap: bytes, lengths: list[int], k: int, similarity: float) -> DataFrame:
-    """(doc_id, start, words, f0, f1, keys, window_shingles) of all windows that may be similar to an item.
-
-    A document shorter than an item is one window as a whole.
+    One row for each document and length, or more where they lie far apart: ``starts`` are the first shingles of windows
+    with as many words, counted from ``first``, and ``shingles`` those that the windows cover. A document shorter
+    than an item is one window as a whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # a fixed number of bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = Hasher(), np.frombuffer(shared.value, np.uint8)
-        least = int(np.ceil(similarity * (min(lengths) - k + 1) - 1e-9))
+        by_size = {min(k, n): [x for x in lengths if min(k, x) == min(k, n)] for n in lengths}  # lengths by the words of a shingle
         for b in batches:
             for at, data, offsets in text_parts(b.column("text")):
                 w = hasher.words(data, offsets)
-                if not len(w.digest):
-                    continue
-                doc, digest, _ = hasher.shingles(w, k)
-                hit = np.flatnonzero(maybe(digest, bits))
-                rows = []
-                for i in np.flatnonzero(np.bincount(doc[hit], minlength=w.n_docs) >= least):
-                    if w.counts[i] < k:
+                rows: list[tuple] = []
+                held = 0
+                for each, mine in by_size.items():
+                    if not len(w.digest):
                         continue
-                    low, high = np.searchsorted(doc, (i, i + 1))
-                    s, own = digest[low:high], hit[np.searchsorted(hit, low) : np.searchsorted(hit, high)] - low
-                    for n_words in lengths:
-                        n = n_words - k + 1
-                        need = int(np.ceil(similarity * n - 1e-9))
-                        if len(own) < need or len(s) < need:
-                            continue
-                        near = own[maybe(length_keys(s[own], n_words), bits)]
-                        if len(near) < need:
-                            continue
-                        # Of the windows with enough hits, each begins up to n places before one.
-                        counts = np.zeros(len(s) + 1, np.int64)
-                        counts[near + 1] = 1
-                        counts = np.cumsum(counts)
-                        size = min(n, len(s))
-                        starts = np.flatnonzero(counts[size:] - counts[: len(s) + 1 - size] >= need)
-                        if len(starts):
-                            prints = window_fingerprints(s, starts, size)
-                            for x, f in zip(starts.tolist(), prints, strict=True):
-                                f2 = f.view(np.int64)
-                                rows.append((at + int(i), x, n_words, int(f2[0]), int(f2[1]), f.astype(np.int32), s[x : x + size].tobytes()))
+                    doc, digest, _ = hasher.shingles(w, each)
+                    hit = np.flatnonzero(maybe(digest, bits))
+                    least = int(np.ceil(similarity * (min(mine) - each + 1) - 1e-9))
+                    for i in np.flatnonzero(np.bincount(doc[hit], minlength=w.n_docs) >= least):
+                        low, high = np.searchsorted(doc, (i, i + 1))
+                        s, own = digest[low:high], hit[np.searchsorted(hit, low) : np.searchsorted(hit, high)] - low
+                        for n_words in mine:
+                            n = n_words - each + 1
+                            need = int(np.ceil(similarity * n - 1e-9))
+                            if len(own) < need or len(s) < need or w.counts[i] < each:
+                                continue
+                            near = own[maybe(length_keys(s[own], n_words), bits)]
+                            if len(near) < need:
+                                continue
+                            if n == 1:  # equal windows are equally similar: the first one counts
+                                near = np.sort(near[np.unique(s[near], return_index=True)[1]])
+                            counts = np.zeros(len(s) + 1, np.int64)
+                            counts[near + 1] = 1
+                            counts = np.cumsum(counts)
+                            size = min(n, len(s))
+                            starts = np.flatnonzero(counts[size:] - counts[: len(s) + 1 - size] >= need)
+                            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * size) + 1) if len(starts) else []:
+                                first = int(part[0])
+                                rows.append((at + int(i), n_words, first, (part - first).astype(np.int32).tobytes(), s[first : int(part[-1]) + size].tobytes()))
+                                held += len(rows[-1][3]) + len(rows[-1][4])
+                                if held > 4 << 20:  # a long text may have many
+                                    yield batch(b, rows)
+                                    rows, held = [], 0
                 if rows:
-                    c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(c[0])), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array([x.tolist() for x in c[5]], pa.list_(pa.int32())), pa.array(c[6], pa.binary())],
-                        names=["doc_id", "start", "words", "f0", "f1", "keys", "window_shingles"],
-                    )
+                    yield batch(b, rows)
+
+    def batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c[0])), *(pa.array(x, t) for x, t in zip(c[1:], (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "words", "first", "starts", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, start int, words int, f0 long, f1 long, keys array<int>, window_shingles binary")
+    return docs.mapInArrow(run, REGION)
+
+
+def parts_of(table: DataFrame) -> list[tuple[list[int], int, int]]:
+    """Parts of the items of ``PART_BYTES`` at most: (lengths, part, number of parts that these lengths are dealt over).
+
+    One row for each length reaches the driver. Items of one length are dealt by a hash of their ids.
+    """
+    each = BLOCKS * len(MASKS) * 8 + 8 * BLOCKS
+    out: list[tuple[list[int], int, int]] = []
+    open_lengths: list[int] = []
+    held = 0
+    for words, n, size in sorted((r[0], r[1], r[2]) for r in table.groupBy("words").agg(F.count("*"), F.sum(F.octet_length("shingles"))).collect()):
+        cost = n * each + size
+        if held + cost > PART_BYTES and open_lengths:
+            out.append((open_lengths, 0, 1))
+            open_lengths, held = [], 0
+        if cost > PART_BYTES:
+            n_parts = -(-2 * cost // PART_BYTES)  # by a hash, so with room
+            out += [([words], i, n_parts) for i in range(n_parts)]
+        else:
+            open_lengths.append(words)
+            held += cost
+    return out + ([(open_lengths, 0, 1)] if open_lengths else [])
+
+
+HIT = "doc_id long, item_id long, start_word int, n_words int, similarity double"
+
+
+def verified(found: DataFrame, table: DataFrame, part: tuple[list[int], int, int], k: int, similarity: float, radius: int) -> DataFrame:
+    """Each region's best window for each item of a part that reaches the similarity."""
+    lengths, number, n_parts = part
+    mine = table.where(F.col("words").isin(lengths) & (F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == number)).collect()
+    by_length: dict[int, list] = {}
+    for r in mine:  # PART_BYTES at most
+        by_length.setdefault(r.words, []).append((r.item_id, bytes(r.shingles)))
+    shared = found.sparkSession.sparkContext.broadcast(by_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[int, tuple] = {}
+        for b in batches:
+            out = []
+            for doc, words, first, starts, s in zip(*(b.column(c).to_pylist() for c in ("doc_id", "words", "first")), b.column("starts"), b.column("shingles"), strict=True):
+                if words not in items:
+                    bags = [np.frombuffer(x, np.uint64) for _, x in shared.value[words]]
+                    items[words] = bags, Index(np.concatenate([window_fingerprints(x, np.zeros(1, np.int64), len(x)) for x in bags])), [i for i, _ in shared.value[words]]
+                bags, index, ids = items[words]
+                starts, s = np.frombuffer(starts.as_buffer(), np.int32).astype(np.int64), np.frombuffer(s.as_buffer(), np.uint64)
+                size = min(len(bags[0]), len(s))
+                best: dict[int, tuple] = {}
+                for at in range(0, len(starts), 4096):
+                    for x, item in index.near(window_fingerprints(s, starts[at : at + 4096], size), radius).tolist():
+                        x = int(starts[at + x])
+                        score = weighted_jaccard(s[x : x + size], bags[item])
+                        if score >= similarity - 1e-12 and score > best.get(item, (0.0,))[0]:
+                            best[item] = score, first + x, size + min(k, words) - 1
+                out += [(doc, ids[item], x, n, score) for item, (score, x, n) in best.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
+
+    return found.where(F.col("words").isin(lengths)).mapInArrow(run, HIT)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, similarity: float = 0.75, k: int = 5, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) of each document's best window for each item it holds.
 
     The similarity is the weighted Jaccard similarity of ``k``-word shingles; of equally similar windows the
-    first counts. Items of fewer than ``k`` words are too short to tell and match nothing, as do null and
-    shorter texts; rows with a null doc_id or item_id are left out. Rows repeated with one doc_id, or with
-    one item_id, count as one document or item: its best window is returned. No item, or no document, gives an
-    empty table.
+    first counts. Items of fewer than ``k`` words are one shingle as a whole, as are windows of their length. Null texts
+    and texts without words match nothing; rows with a null doc_id or item_id are left out. Rows repeated with one
+    doc_id, or with one item_id, count as one document or item: its best window is returned. No item, or no document,
+    gives an empty table. Only doc_id, item_id and text are read, so other columns may have any name. Texts of any
+    length are read whole.
     """
+    if radius > RADIUS:
+        raise ValueError(f"the index guarantees {RADIUS} bits")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     table = scratch.save(item_table(items, k).distinct(), "items")
-    lengths = sorted(r[0] for r in table.select("words").distinct().collect())  # one for each length in words
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double")
-    bitmap = bloom_bytes(item_keys(table), BLOOM_BITS)
-    found = scratch.save(windows(docs, bitmap, lengths, k, similarity), "windows")
-    index = scratch.save(block_rows(table, radius), "index")
-    small = index.count() <= BROADCAST_ROWS
-    share = F.broadcast if small else (lambda df: df)
-    probes = found.select("*", F.posexplode("keys").alias("block", "key")).drop("keys")
-    pairs = probes.join(share(index), ["words", "block", "key"])
-    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    # A pair may meet in several blocks; it is taken in the first of them.
-    near = [F.when(F.bit_count(F.shiftrightunsigned(F.col(f"f{b * WIDTH // 64}").bitwiseXOR(F.col(f"g{b * WIDTH // 64}")), b * WIDTH % 64).bitwiseAND((1 << WIDTH) - 1)) <= radius // BLOCKS, F.lit(b)) for b in range(BLOCKS)]
-    pairs = pairs.where((apart <= radius) & (F.coalesce(*near) == F.col("block")))
-    pairs = pairs.select("doc_id", "start", "words", "f0", "f1", "window_shingles", "item_id").join(share(table.select("item_id", "words", "item_shingles")), ["item_id", "words"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("window_shingles"), b.column("item_shingles"), strict=True)]
-            n = [len(x.as_buffer()) // 8 + k - 1 for x in b.column("window_shingles")]
-            ok = pa.array([x >= similarity - 1e-12 for x in score], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (b.column("doc_id"), b.column("item_id"), b.column("start"), pa.array(n, pa.int32()), pa.array(score, pa.float64()))], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
-
-    sure = pairs.select("doc_id", "item_id", "start", "window_shingles", "item_shingles").mapInArrow(verify, "doc_id long, item_id long, start_word int, n_words int, similarity double")
+    parts = parts_of(table)
+    if not parts:
+        return docs.sparkSession.createDataFrame([], HIT)
+    lengths = sorted({x for p in parts for x in p[0]})
+    found = scratch.save(regions(docs, bloom_bytes(item_keys(table), BLOOM_BITS), lengths, k, similarity), "regions")
+    sure = verified(found, table, parts[0], k, similarity, radius)
+    for p in parts[1:]:
+        sure = sure.union(verified(found, table, p, k, similarity, radius))
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("before"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.before")).cast("int").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))

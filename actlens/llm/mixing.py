@@ -14,43 +14,21 @@ histograms of the hashes, so that the words taken meet the target up to about on
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from actlens.llm.scratch import Scratch
-from actlens.llm.words import text_parts
 
 BINS = 4096
 #: Sources up to which their table is broadcast, about 10 MB; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
 
-def word_counts(docs: DataFrame, text: str = "text", size: str = "size", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the number of words of each text (null: 0) after the other columns, or in place of the text."""
-    keep = [f for f in docs.schema.fields if f.name != size and (keep_text or f.name != text)]
-    schema = T.StructType([*keep, T.StructField(size, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(256, bool)
-        table[[0x20, 9, 10, 11, 12, 13]] = True
-        for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            for at, data, offsets in text_parts(b.column(text)):
-                space = table[data]
-                begins = ~space
-                begins[1:] &= space[:-1]
-                edge = offsets[:-1][offsets[:-1] < len(data)]
-                begins[edge] = ~space[edge]
-                sums = np.concatenate(([0], np.cumsum(begins)))
-                n[at : at + len(offsets) - 1] = sums[offsets[1:]] - sums[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(n)], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+def word_count(text: Column) -> Column:
+    """The number of words of a text; null: 0."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -137,7 +115,7 @@ def edges(rows: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast if it has one row for each of at most ``BROADCAST_SOURCES`` sources."""
+    """Broadcast if it has one row for each of at most ``BROADCAST_SOURCES`` sources; joined by a shuffle with the same result beyond."""
     return F.broadcast(df) if df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else df
 
 
@@ -161,26 +139,30 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, rate, copies and taken; without text unless ``keep_text``.
 
     size is the text's number of words (null: 0), taken is size * copies. Null sources are one source, the
-    last. ``prior`` is a column of prior rates, 1 by default. Rows repeated with one doc_id, source and size get
-    as many copies each. A source whose texts are all empty has target 0, and its rows no copies. ``cap`` must be a
-    whole number, so that copies don't exceed it. Reruns on equal rows agree. Columns already named so are replaced.
+    last. ``prior`` is a column of prior rates, 1 by default; a null or negative one is 0. Rows repeated with one doc_id,
+    source and size get as many copies each; a null doc_id is a value like others. A source whose texts are all empty has
+    target 0, and its rows no copies. ``cap`` must be a whole number, so that copies don't exceed it. Reruns on equal rows
+    agree. An empty table stays empty. Columns already named as the new ones are replaced; all others stay, whatever
+    their names.
     """
     if cap != int(cap):
         raise ValueError("cap must be a whole number")
     new = ("size", "source_size", "target", "rate", "copies", "taken")
-    docs = docs.drop(*new)
-    one = F.lit(1.0) if prior is None else prior.cast("double")
-    slim = word_counts(docs.select("doc_id", "source", F.col("text").cast("string").alias("text"), one.alias("prior")))
+    one = F.lit(1.0) if prior is None else F.greatest(F.coalesce(prior.cast("double"), F.lit(0.0)), F.lit(0.0))
+    columns = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), one.alias("prior"))
     rows = scratch.save(slim.withColumn("key", source_key()), "sizes")
     cells = scratch.save(rows.where("size > 0").groupBy("key", "prior").agg(F.sum("size").alias("size")), "cells")
     totals = scratch.save(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), "totals")
     targets = scratch.save(source_targets(totals.select("source", "source_size"), weights, share, cap).withColumn("key", source_key()), "targets")
     goals = scratch.save(targets.join(tilt(cells, targets, cap, scratch), "key", "left"), "goals")
     edge = scratch.save(edges(lots(rated(rows, goals, cap)), goals.select("key", "target"), scratch), "edge")
-    if keep_text or len(docs.columns) > 3:
-        rows = word_counts(docs.withColumn("prior", one), keep_text=keep_text).withColumn("key", source_key())
+    if set(columns) <= {"doc_id", "source"}:
+        row = F.struct(*(F.col(c) for c in columns)) if columns else F.struct(F.lit(1))
+        rows = rows.withColumn("row", row)
+    else:
+        rows = docs.select(F.struct(*columns).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), one.alias("prior")).withColumn("key", source_key())
     out = lots(rated(rows, goals, cap)).join(small(edge), "key", "left")
     extra = F.coalesce(F.col("lot") < F.col("edge"), F.lit(False)).cast("int")
     out = out.withColumn("copies", (F.col("base") + extra).cast("int"))
-    columns = [c for c in docs.columns if keep_text or c != "text"]
-    return out.select(*columns, "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return out.select(*(F.col("row")[c].alias(c) for c in columns), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

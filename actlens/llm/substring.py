@@ -18,8 +18,7 @@ have another source.
 
 A run of words whose seeds fall to several sources may have no chain. Any run of ``min_words`` words
 that an earlier document has lies in a stretch where all seeds have some source, so the windows of
-such stretches with at least ``k`` words outside all passages are looked up by their digests in all
-documents. Fewer words, as where another document happens to go on with the same word, stay.
+such stretches that aren't wholly in passages are looked up by their digests in all documents.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,60 +205,47 @@ def hot_keys(docs: DataFrame, rules: Rules, sample: int = 10_000) -> DataFrame:
 def chain(pieces: np.ndarray, rules: Rules) -> list[np.ndarray]:
     """Chains of diagonal pieces (start, end, source start), ascending by start, each piece once.
 
-    A chain is cut where a gap is over ``max_gap``. Of the chains that share pieces the best is taken, and what
-    it leaves is chained again, so a passage that repeats while its source doesn't costs no round for each copy.
+    A chain is cut where a gap is over ``max_gap``. One pass scores all pieces; chains are then taken from the best
+    end on, each back to where a better one goes its own way.
     """
-    out = []
-    left = pieces
-    while len(left):
-        n = len(left)
-        x, x_end, y = left[:, 0], left[:, 1], left[:, 2]
-        y_end = y + x_end - x
-        ranks = np.unique(np.concatenate((y, y_end)))
-        size = len(ranks)
-        tree_score, tree_piece = [-1e18] * (size + 1), [-1] * (size + 1)
-        y_at, end_at = np.searchsorted(ranks, y, "right").tolist(), (np.searchsorted(ranks, y_end) + 1).tolist()
-        by_end = np.argsort(x_end, kind="stable").tolist()
-        score, back = [0.0] * n, [-1] * n
-        c, waiting = rules.gap_cost, 0
-        for i in range(n):
-            while waiting < n and x_end[by_end[waiting]] <= x[i]:  # ends before this piece begins
-                j = by_end[waiting]
-                value, k = score[j] + c * float(x_end[j] + y_end[j]), end_at[j]
-                while k <= size:
-                    if tree_score[k] < value:
-                        tree_score[k], tree_piece[k] = value, j
-                    k += k & -k
-                waiting += 1
-            best, j, k = -1e18, -1, y_at[i]
-            while k > 0:
-                if tree_score[k] > best:
-                    best, j = tree_score[k], tree_piece[k]
-                k -= k & -k
-            gain = best - c * float(x[i] + y[i])
-            score[i] = float(x_end[i] - x[i]) + max(0.0, gain)
-            back[i] = j if gain > 0 else -1
-        to = np.array(back)
-        far = np.flatnonzero(to >= 0)
-        far = far[np.maximum(x[far] - x_end[to[far]], y[far] - y_end[to[far]]) > rules.max_gap]
-        to[far] = -1
-        back, root = to.tolist(), list(range(n))
-        for i in range(n):
-            if back[i] >= 0:
-                root[i] = root[back[i]]
-        taken, gone = set(), np.zeros(n, bool)
-        for i in np.argsort(-np.array(score), kind="stable").tolist():
-            if root[i] in taken:
-                continue
-            taken.add(root[i])
-            path = []
-            while i >= 0:
-                path.append(i)
-                i = back[i]
-            path.reverse()
-            gone[path] = True
-            out.append(left[path])
-        left = left[~gone]
+    n = len(pieces)
+    x, x_end, y = pieces[:, 0], pieces[:, 1], pieces[:, 2]
+    y_end = y + x_end - x
+    ranks = np.unique(np.concatenate((y, y_end)))
+    size = len(ranks)
+    tree_score, tree_piece = [-1e18] * (size + 1), [-1] * (size + 1)
+    y_at, end_at = np.searchsorted(ranks, y, "right").tolist(), (np.searchsorted(ranks, y_end) + 1).tolist()
+    by_end = np.argsort(x_end, kind="stable").tolist()
+    x, x_end, y, y_end = (v.tolist() for v in (x, x_end, y, y_end))
+    score, back = [0.0] * n, [-1] * n
+    c, waiting = rules.gap_cost, 0
+    for i in range(n):
+        while waiting < n and x_end[by_end[waiting]] <= x[i]:  # ends before this piece begins
+            j = by_end[waiting]
+            value, k = score[j] + c * (x_end[j] + y_end[j]), end_at[j]
+            while k <= size:
+                if tree_score[k] < value:
+                    tree_score[k], tree_piece[k] = value, j
+                k += k & -k
+            waiting += 1
+        best, j, k = -1e18, -1, y_at[i]
+        while k > 0:
+            if tree_score[k] > best:
+                best, j = tree_score[k], tree_piece[k]
+            k -= k & -k
+        gain = best - c * (x[i] + y[i])
+        if gain > 0 and max(x[i] - x_end[j], y[i] - y_end[j]) <= rules.max_gap:
+            back[i] = j
+        score[i] = x_end[i] - x[i] + (gain if back[i] >= 0 else 0.0)
+    out, taken = [], [False] * n
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
+        path = []
+        while i >= 0 and not taken[i]:
+            taken[i] = True
+            path.append(i)
+            i = back[i]
+        if path:
+            out.append(pieces[path[::-1]])
     return out
 
 
@@ -330,10 +316,7 @@ def chains(sorted_matches: DataFrame, rules: Rules) -> DataFrame:
 
 
 def word_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text_digest, words) of the documents named in ``ids``, words being 32-bit digests.
-
-    Of texts under one doc_id, that with the smallest digest is taken.
-    """
+    """(doc_id, text_digest, words) of the documents named in ``ids`` (and of a few others), words being 32-bit digests."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom_bytes(ids))  # 4 MB at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,18 +328,28 @@ def word_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 w = hasher.words(data, offsets)
                 short = (w.digest >> U64(32)).astype(np.uint32)
                 rows = [short[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n_docs)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(at, w.n_docs), pa.array([digest_of(w, i) for i in range(w.n_docs)], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "text_digest", "words"]
-                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(at, w.n_docs) for c in ("doc_id", "text_digest")), pa.array(rows, pa.binary())], names=["doc_id", "text_digest", "words"])
+
+    return docs.withColumn("text_digest", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_digest long, words binary")
 
-    found = docs.mapInArrow(run, "doc_id long, text_digest long, words binary")
-    return found.groupBy("doc_id").agg(F.min(F.struct("text_digest", "words")).alias("x")).select("doc_id", "x.text_digest", "x.words")
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row for each id, and (own_id, doc_id) of those that have got another one.
 
-def digest_of(w: Words, i: int) -> int:
-    """A digest of a text's words in order."""
-    d = w.digest[w.first[i] : w.first[i + 1]]
-    return int((mix(d + np.arange(len(d)).astype(np.uint64)).sum(dtype=np.uint64) + U64(len(d))).view(np.int64))
+    Of texts under one doc_id the one with the least digest keeps it. All others, and those without a doc_id, get
+    numbers beyond the largest one, so they count as later documents. None where all ids differ.
+    """
+    several = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    if several.isEmpty():
+        return docs, None
+    rest = docs.join(several, "doc_id", "left_anti").where("doc_id IS NOT NULL")
+    texts = docs.join(several.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").distinct()
+    first = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("doc_id", F.col("x.text").alias("text"))
+    first = scratch.save(first, "first-texts")
+    others = texts.join(first.select(F.col("doc_id").alias("id"), F.col("text").alias("own")), F.col("doc_id") == F.col("id"), "left").where("id IS NULL OR text <> own")
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    others = scratch.save(others.select(F.monotonically_increasing_id().alias("own_id"), "doc_id", "text"), "other-texts").withColumn("own_id", F.col("own_id") + F.lit(most + 1))
+    return rest.union(first).union(others.select("own_id", "text")), others.select("own_id", "doc_id")
 
 
 def align(d: np.ndarray, s: np.ndarray, pieces: np.ndarray) -> np.ndarray:
@@ -444,10 +437,9 @@ def window_digests(hasher: Hasher, short: np.ndarray, n: int) -> np.ndarray:
 
 
 def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, words: DataFrame, scratch: Scratch, rules: Rules) -> DataFrame | None:
-    """Passages of equal words for the windows of ``stretches`` with at least ``k`` words outside ``spans``.
+    """Passages of equal words for the windows of ``stretches`` that aren't wholly in ``spans``.
 
-    A window's source is the smallest document that has it; where it begins there first, both texts are compared on
-    either side as far as they agree. None if no window is open.
+    A window's source is the smallest document that has it, where it begins there first. None if no window is open.
     """
     n = rules.min_words
     own = stretches.select("doc_id", F.col("x0").alias("a"), (F.col("x1") - n).alias("b"), F.lit(False).alias("held"))
@@ -466,7 +458,7 @@ def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, word
                     else:
                         free[r["a"] : r["b"] + 1] = True
                 left = np.concatenate(([0], np.cumsum(outside)))
-                free &= left[n:] - left[:-n] >= rules.k
+                free &= left[n:] > left[:-n]
                 if free.any():
                     ids.append(d)
                     windows.append(np.flatnonzero(free).astype(np.int32).tobytes())
@@ -503,31 +495,31 @@ def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, word
 
     heads = docs.mapInArrow(scan, "digest long, doc_id long, pos int").groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("head"))
     hits = wanted.join(heads, "digest").where("head.doc_id < doc_id").groupBy("doc_id", F.col("head.doc_id").alias("source")).agg(F.collect_list(F.struct("pos", F.col("head.pos").alias("source_pos"))).alias("places"))
-    hits = scratch.save(hits, "hits")
+    hits = scratch.save(hits, "hits", ("open",))
     both = scratch.save(word_arrays(docs, hits.select("doc_id").union(hits.select("source"))), "hit-words")
-    pairs = hits.join(both, "doc_id").join(both.select(F.col("doc_id").alias("source"), F.col("words").alias("theirs")), "source")
+    low, high = [F.array_min(f"places.{c}") for c in ("pos", "source_pos")], [F.array_max(f"places.{c}") + n for c in ("pos", "source_pos")]
+    pairs = hits.join(both, "doc_id").select("doc_id", "text_digest", "source", "places", low[0].alias("x"), slice_words("words", low[0], high[0]).alias("mine"))
+    pairs = pairs.join(both.select(F.col("doc_id").alias("source"), F.col("words")), "source").select("doc_id", "text_digest", "source", "places", "x", low[1].alias("y"), "mine", slice_words("words", low[1], high[1]).alias("theirs"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r, m, t in zip(b.drop_columns(["words", "theirs"]).to_pylist(), b.column("words"), b.column("theirs"), strict=True):
+            for r, m, t in zip(b.drop_columns(["mine", "theirs"]).to_pylist(), b.column("mine"), b.column("theirs"), strict=True):
                 d, s = np.frombuffer(m.as_buffer(), np.uint32), np.frombuffer(t.as_buffer(), np.uint32)
                 done = -1  # the last window of the passages so far
-                for x, y in sorted((p["pos"], p["source_pos"]) for p in r["places"]):
+                for x, y in sorted((p["pos"] - r["x"], p["source_pos"] - r["y"]) for p in r["places"]):
                     if x <= done or not np.array_equal(d[x : x + n], s[y : y + n]):
-                        continue  # the place is of another text under the source's doc_id
-                    before, after = min(x, y), min(len(d) - x, len(s) - y)
-                    other = np.flatnonzero(d[x - before : x] != s[y - before : y])
-                    left = before - (int(other[-1]) + 1 if len(other) else 0)
+                        continue  # digests of other words agree
+                    after = min(len(d) - x, len(s) - y)
                     other = np.flatnonzero(d[x : x + after] != s[y : y + after])
-                    right = int(other[0]) if len(other) else after
-                    rows.append((r["doc_id"], r["text_digest"], x - left, left + right, r["source"], y - left, left + right, left + right))
-                    done = x + right - n
+                    size = int(other[0]) if len(other) else after
+                    rows.append((r["doc_id"], r["text_digest"], r["x"] + x, size, r["source"], r["y"] + y, size, size))
+                    done = x + size - n
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_digest", "start_word", "n_words", "source_doc_id", "source_start_word", "source_words", "matched"])
 
-    out = scratch.save(pairs.mapInArrow(extend, SPAN).distinct(), "exact-spans")
+    out = scratch.save(pairs.mapInArrow(extend, SPAN).distinct(), "exact-spans", ("hits",))
     scratch.drop("open", "hits", "hit-words")
     return out
 
@@ -541,13 +533,16 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
     One row for each passage and source: doc_id, text_digest, start_word, n_words and the source's
     doc_id, first word and words, with the number of equal words. Of all documents with a passage, the one with
     the smallest doc_id has no row for it. Passages of one document may overlap. Of every run of
-    ``min_words`` equal words that an earlier document has, all words but fewer than ``k`` lie in them.
+    ``min_words`` equal words that an earlier document has, all words lie in them.
 
-    Null and short texts have none. Rows with a null doc_id are left out. Rows with one doc_id are one
-    document: if their texts differ, spans hold for that with the smallest digest.
+    Null and short texts have none. Rows repeated with doc_id and text are one document. Of differing texts under
+    one doc_id the one with the least digest is the document of that id; the others, and rows without a doc_id,
+    count as documents after all others, in an order of their own. ``text_digest``, ``xxhash64`` of the text, tells
+    them apart. Only doc_id and text are read; an empty table gives no rows.
     """
     rules = rules or Rules()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    docs, own_ids = numbered(docs, scratch)
     spark = docs.sparkSession
     keys = sorted(r[0] for r in hot_keys(docs, rules).collect())  # at most 1 / hot_share times the seeds of a document
     hot = heads = None
@@ -564,18 +559,9 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
     found, stretched = linked.where("source IS NOT NULL"), linked.where("source IS NULL").select("doc_id", "x0", "x1")
     words = scratch.save(word_arrays(docs, linked.select("doc_id").union(found.select("source"))), "words")
     pad = rules.pad
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for x0, x1, w in zip(b.column("x0").to_pylist(), b.column("x1").to_pylist(), b.column("words"), strict=True):
-                w = np.frombuffer(w.as_buffer(), np.uint32)
-                parts.append(w[max(0, x0 - pad) : x1 + pad].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "words"), pa.array(parts, pa.binary())], names=[*(c for c in b.schema.names if c != "words"), "mine"])
-
-    joined = found.join(words, "doc_id").select("doc_id", "text_digest", "source", "x0", "x1", "y0", "y1", "pieces", "words")
-    mine = joined.mapInArrow(cut, T.StructType([f for f in joined.schema.fields if f.name != "words"] + [T.StructField("mine", T.BinaryType())]))
-    both = mine.join(words.select(F.col("doc_id").alias("source"), F.col("words").alias("theirs")), "source")
+    mine = found.join(words, "doc_id").select("doc_id", "text_digest", "source", "x0", "y0", "y1", "pieces", slice_words("words", F.col("x0") - pad, F.col("x1") + pad).alias("mine"))
+    both = mine.join(words.select(F.col("doc_id").alias("source"), "words"), "source")
+    both = both.select("doc_id", "text_digest", "source", "x0", "y0", "pieces", "mine", slice_words("words", F.col("y0") - pad, F.col("y1") + pad).alias("theirs"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -583,10 +569,7 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
             for r, m, t in zip(b.drop_columns(["mine", "theirs"]).to_pylist(), b.column("mine"), b.column("theirs"), strict=True):
                 d, s = np.frombuffer(m.as_buffer(), np.uint32), np.frombuffer(t.as_buffer(), np.uint32)
                 dx, dy = max(0, r["x0"] - pad), max(0, r["y0"] - pad)
-                s = s[dy : r["y1"] + pad]
                 pieces = np.frombuffer(r["pieces"], np.int32).reshape(-1, 3) - np.array([dx, dx, dy])
-                if pieces[-1, 1] > len(d) or pieces[-1, 2] + pieces[-1, 1] - pieces[-1, 0] > len(s):
-                    continue  # the chain is of another text under this doc_id
                 to = align(d, s, pieces)
                 for x, y in stretches(to >= 0, rules):
                     spans.append((r["doc_id"], r["text_digest"], dx + x, y - x, r["source"], dy + int(to[x]), int(to[y - 1] - to[x] + 1), int((to[x:y] >= 0).sum())))
@@ -594,56 +577,61 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), types, strict=True)], names=["doc_id", "text_digest", "start_word", "n_words", "source_doc_id", "source_start_word", "source_words", "matched"])
 
-    spans = scratch.save(both.mapInArrow(measure, SPAN).distinct(), "spans")
+    spans = scratch.save(both.mapInArrow(measure, SPAN).distinct(), "spans", ("chains",))
     exact = exact_passages(docs, stretched, spans, words, scratch, rules)
     scratch.drop("words", "chains")
-    return spans if exact is None else spans.union(exact)
+    spans = spans if exact is None else spans.union(exact)
+    if own_ids is None:
+        return spans
+    for c in ("doc_id", "source_doc_id"):
+        named = spans.join(own_ids.select("own_id", F.col("doc_id").alias("id")), F.col(c) == F.col("own_id"), "left")
+        spans = named.withColumn(c, F.when(F.col("own_id").isNull(), F.col(c)).otherwise(F.col("id"))).drop("own_id", "id")
+    return spans
+
+
+def slice_words(words: str, low: Column, high: Column) -> Column:
+    """The part of a column of 32-bit words from ``low``, or the first one, up to ``high``."""
+    low = F.greatest(low, F.lit(0))
+    return F.substring(F.col(words), low * 4 + 1, (high - low) * 4)
+
+
+def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Each text without its cuts (start_word, n_words) and the space after them; null if no word is left."""
+    hasher, out = Hasher(), []
+    for text, cut in zip(texts, cuts, strict=True):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        raw = text.as_buffer().to_pybytes()
+        w = hasher.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        gone = np.zeros(len(w.start) + 1, np.int8)
+        for c in cut.as_py():
+            gone[c["start_word"] : c["start_word"] + c["n_words"]] = 1
+        gone[-1] = 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone)))).reshape(-1, 2)
+        kept, at = [], 0
+        for a, z in edge.tolist():
+            kept.append(raw[at : w.start[a]])
+            at = int(w.start[z]) if z < len(w.start) else len(raw)
+        kept.append(raw[at:])
+        out.append(None if len(w.start) and gone[:-1].all() else b"".join(kept).decode())
+    return pa.array(out, pa.string())
 
 
 def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of ``spans`` (doc_id, text_digest, start_word, n_words) and the space after them.
 
-    Other columns stay as they are, but ``n_chars``, if there, is counted anew where words went. Rows of whose
-    words none is left are left out; texts without words stay.
+    Other columns stay as they are, whatever their names, but ``n_chars``, if there, is counted anew where words
+    went. Rows of whose words none is left are left out; null texts and texts without words stay. Rows repeated
+    with doc_id and text are cut alike. Only texts that lose words go through Python.
     """
-    schema = docs.schema
-    cut = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("text_digest", "start_word", "n_words")).alias("_cut"))  # a document's own
-    joined = docs.join(cut, docs["doc_id"] == cut["_doc"], "left").drop("_doc")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            cuts = b.column("_cut")
-            rows = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
-            if not len(rows):
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in schema.names], names=schema.names)
-                continue
-            texts = b.column("text").to_pylist()
-            lengths = b.column("n_chars").to_pylist() if "n_chars" in schema.names else None
-            stay = np.ones(len(texts), bool)
-            for i in rows.tolist():
-                if not texts[i]:
-                    continue
-                raw = texts[i].encode()
-                w = hasher.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                mine, gone = digest_of(w, 0), np.zeros(len(w.start) + 1, np.int8)
-                for c in cuts[i].as_py():
-                    if c["text_digest"] == mine:
-                        gone[c["start_word"] : c["start_word"] + c["n_words"]] = 1
-                if not gone.any():
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone)))).reshape(-1, 2)
-                kept, at = [], 0
-                for a, z in edge.tolist():
-                    kept.append(raw[at : w.start[a]])
-                    at = int(w.start[z]) if z < len(w.start) else len(raw)
-                kept.append(raw[at:])
-                stay[i] = not gone[:-1].all()
-                texts[i] = b"".join(kept).decode()
-                if lengths is not None and lengths[i] is not None:
-                    lengths[i] = len(texts[i])
-            new = {"text": texts, **({"n_chars": lengths} if lengths is not None else {})}
-            out = pa.RecordBatch.from_arrays([pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in schema.names], names=schema.names)
-            yield out.filter(pa.array(stay))
-
-    return joined.mapInArrow(run, schema)
+    cut = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_digest").alias("cut_digest")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("cuts"))  # a text's own
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_digest"))
+    joined = whole.join(cut, F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own_digest") == F.col("cut_digest")), "left")
+    hit = F.col("cuts").isNotNull()
+    new = F.arrow_udf(without, T.StringType()).asNondeterministic()(F.when(hit, F.col("row.text").cast("string")), F.coalesce("cuts", F.array().cast("array<struct<start_word:int,n_words:int>>")))
+    out = joined.select("row", hit.alias("hit"), new.alias("new")).where("NOT hit OR new IS NOT NULL")
+    changed = {"text": F.col("new").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("row.n_chars").isNotNull(), F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(F.when(F.col("hit"), changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns))
