@@ -22,35 +22,51 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    A null or empty text has the good label's share as its score, and stays if that is enough. Repeated rows are judged
+    alike; an empty table stays empty. No usable label at all is an error. All columns stay, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    if docs.isEmpty():
+        return docs
     model = fit_quality(docs.select("doc_id", "text"), labels)
-    columns = docs.columns
-    return score_quality(docs.withColumnsRenamed({"score": "_score"}), model).where(F.col("score") >= THRESHOLD).drop("score").withColumnsRenamed({"_score": "score"}).select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score_quality(rows, model).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; see :func:`keep_one` for nulls, ties and repeated rows."""
     return keep_one(docs, Scratch(spark, "pipeline-near"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has too; those with no other words go."""
+    """Documents without the passages that an earlier one has too; those with no other words go.
+
+    Rows without a doc_id, and all but one of differing texts under one doc_id, count as later documents and are cut
+    like others. Null texts stay.
+    """
     return remove_passages(docs, passages(docs, Scratch(spark, "pipeline-passages")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows without a doc_id stay."""
+    """Documents that hold no benchmark item. Every row is judged by its own text, whatever its doc_id; null texts stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     scratch = Scratch(spark, "pipeline-benchmark")
-    hits = scratch.save(contaminated(docs, items, scratch).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.xxhash64(F.col("text").cast("string"))
+    found = contaminated(docs.select(digest.alias("doc_id"), "text"), items, scratch)
+    hits = scratch.save(found.select(F.col("doc_id").alias("hit")).distinct(), "hits")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col("text").isNotNull(), digest).alias("digest"))
+    return rows.join(hits, F.col("digest") == F.col("hit"), "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: every document as often as it is taken, with the number of each copy."""
-    mixed = mix_sources(docs, Scratch(spark, "pipeline-mixing"), keep_text=True).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns, "copy")
+    """The mixture: every document as often as it is taken, with the number of each copy in ``copy``, which replaces a
+    column of that name. Documents without words are never taken; see :func:`mix_sources` for nulls and repeated rows."""
+    rows = docs.drop("copy")
+    whole = rows.select("doc_id", "source", "text", F.struct(*rows.columns).alias("whole"))
+    mixed = mix_sources(whole, Scratch(spark, "pipeline-mixing")).where("copies > 0")
+    return mixed.select("whole.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 STAGES = [
