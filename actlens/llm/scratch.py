@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of input for each task that writes a table of bounded size.
 PART = 32 << 20
@@ -29,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def redealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, an aggregate by ``key``, with the key under another name that Spark takes for a new value.
+
+    A join on that name deals ``df`` anew, and only where both sides of a join are dealt for it may Spark split the
+    other side's hot keys over several tasks.
+    """
+    return df.withColumn(name, F.col(key).bitwiseXOR(F.lit(0).cast("long"))).drop(key)
+
+
 class Scratch:
     """A folder of intermediate tables below the shared one.
 
@@ -54,18 +64,19 @@ class Scratch:
         fs, where = self._fs(self.path(name))
         return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
-    def fit(self, df: DataFrame, of: tuple[str, ...], times: int = 1) -> DataFrame:
-        """``df`` in no more tasks than its size is worth.
+    def fit(self, df: DataFrame, of: tuple[str, ...] = (), times: int = 1, like: DataFrame | None = None) -> DataFrame:
+        """``df`` in no more tasks than its size is worth, instead of one for each shuffle partition: no crowd of small files.
 
-        ``of`` names saved tables; ``times`` their bytes bound those of ``df``. There is a task for each ``PART`` bytes of
-        that, or two a core if that is more, instead of one for each shuffle partition: no crowd of small files.
+        Either as many tasks as ``like`` has partitions; or one for each ``PART`` bytes of the saved tables ``of``, ``times``
+        whose bytes bound those of ``df``. Two a core if that is more.
         """
-        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, times * sum(map(self.size, of)) // PART + 1))
+        tasks = like.rdd.getNumPartitions() if like is not None else times * sum(map(self.size, of)) // PART + 1
+        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, tasks))
 
-    def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1) -> DataFrame:
-        """Writes and rereads a table, fitted to ``of`` if that is given; the shuffle files that only this write needed go at once."""
-        if of is not None:
-            df = self.fit(df, of, times)
+    def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1, like: DataFrame | None = None) -> DataFrame:
+        """Writes and rereads a table, fitted if ``of`` or ``like`` is given; the shuffle files that only this write needed go at once."""
+        if of is not None or like is not None:
+            df = self.fit(df, of or (), times, like)
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:

@@ -339,7 +339,7 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
     Of texts under one doc_id the one with the least digest keeps it. All others, and those without a doc_id, get
     numbers beyond the largest one, so they count as later documents. None where all ids differ.
     """
-    several = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    several = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several", like=docs)
     if several.isEmpty():
         return docs, None
     rest = docs.join(several, "doc_id", "left_anti").where("doc_id IS NOT NULL")
@@ -553,8 +553,8 @@ def passages(docs: DataFrame, scratch: Scratch, rules: Rules | None = None) -> D
         key, at_doc, at_pos = (np.array(x, np.int64) for x in zip(*first, strict=True))
         heads = spark.sparkContext.broadcast((np.stack((at_doc, at_pos & 0xFFFFFFFF, below(key, at_doc))), np.searchsorted(key, np.array(keys, np.int64))))
     rows = seed_rows(docs, rules, hot, heads).repartition("key").sortWithinPartitions("key", "doc_id", "pos")
-    matches = scratch.save(first_matches(rows), "matches")
-    linked = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains")
+    matches = scratch.save(first_matches(rows), "matches", like=docs)
+    linked = scratch.save(chains(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos"), rules), "chains", like=docs)
     scratch.drop("matches")
     found, stretched = linked.where("source IS NOT NULL"), linked.where("source IS NULL").select("doc_id", "x0", "x1")
     words = scratch.save(word_arrays(docs, linked.select("doc_id").union(found.select("source"))), "words")
