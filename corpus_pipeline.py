@@ -46,7 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows without a doc_id, and all but one of differing texts under one doc_id, count as later documents and are cut
     like others. Null texts stay.
     """
-    return remove_passages(docs, passages(docs, Scratch(spark, "pipeline-passages")))
+    scratch = Scratch(spark, "pipeline-passages")
+    return scratch.fit(remove_passages(docs, passages(docs, scratch)), like=docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     scratch = Scratch(spark, "pipeline-benchmark")
     digest = F.xxhash64(F.col("text").cast("string"))
     found = contaminated(docs.select(digest.alias("doc_id"), "text"), items, scratch)
-    hits = scratch.save(found.select(F.col("doc_id").alias("hit")).distinct(), "hits")
+    hits = scratch.save(found.select(F.col("doc_id").alias("hit")).distinct(), "hits", ("regions",))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col("text").isNotNull(), digest).alias("digest"))
     return rows.join(hits, F.col("digest") == F.col("hit"), "left_anti").select("row.*")
 
