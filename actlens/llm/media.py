@@ -345,7 +345,8 @@ def describe_stored(df: DataFrame, content: str = "media") -> DataFrame:
     """Adds what the samples read back from ``content`` amount to: lengths, digests and a feature text.
 
     Needs ``sniffed`` of :func:`sniff_media`. The feature lists type, bits, channels, rate, number of
-    samples and embedded objects.
+    samples and embedded objects. A null value, or one that isn't a WAVE file with 8-bit samples, has nulls. Columns already
+    named as the new ones are replaced; an empty table stays empty.
     """
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     rows = df.drop(*[n for n, _ in new])
@@ -357,6 +358,10 @@ def describe_stored(df: DataFrame, content: str = "media") -> DataFrame:
             for part in slices(b, content):
                 cols: list[list] = [[] for _ in new]
                 for x, s in zip(part.column(content).to_pylist(), part.column("sniffed").to_pylist(), strict=True):
+                    if x is None or not s["valid_bytes"] or s["media_type"] != "audio/wav" or struct.unpack_from("<H", x, 34)[0] != 8:
+                        for c in cols:
+                            c.append(None)
+                        continue
                     payload = wav_samples(x)
                     channels, rate, bits = (struct.unpack_from("<H", x, 22)[0], struct.unpack_from("<I", x, 24)[0], struct.unpack_from("<H", x, 34)[0])
                     inner = ",".join(f"{e['media_type']}@{e['at']}+{e['n_bytes']}" for e in s["embedded"])

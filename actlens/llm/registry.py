@@ -31,4 +31,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that learn a model, or whose answer SQL can't state, have none."""
-    return {"op1_url_filter": q1.OP1_SQL, "op7_ngram_jaccard": q7.OP7_SQL, "op8_warc": q8.OP8_SQL}
+    return {"op1_url_filter": q1.OP1_SQL, "op7_ngram_jaccard": q7.OP7_SQL, "op8_warc": q8.OP8_SQL, "op10_media_columns": q10.OP10_SQL}

@@ -73,14 +73,14 @@ class Scratch:
         tasks = like.rdd.getNumPartitions() if like is not None else times * sum(map(self.size, of)) // PART + 1
         return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, tasks))
 
-    def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1, like: DataFrame | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1, like: DataFrame | None = None, compression: str = "snappy") -> DataFrame:
         """Writes and rereads a table, fitted if ``of`` or ``like`` is given; the shuffle files that only this write needed go at once."""
         if of is not None or like is not None:
             df = self.fit(df, of or (), times, like)
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))

@@ -148,22 +148,24 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url
     A rule fits its host and all its subdomains if the url's path starts with the rule's path; the
     longest fitting rule decides, and ``default`` where none fits. A null url, or one without
     ``://``, has an empty host and path and gets ``default``, as does an empty path. Columns of
-    ``df`` with one of the four names are replaced. Repeated rows are judged alike.
+    ``df`` with one of the four names are replaced, others stay whatever their names. Repeated rows are judged alike; of
+    fitting rules of one length, that with the longer host decides. Urls of any length are read whole; an empty table
+    stays empty. Only hosts and paths go to Python.
     """
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "urlfilter")
     name = f"urls-{scratch.root.rsplit('-', 1)[1]}.idx"
     spark.sparkContext.addFile(scratch.write_bytes(name, [build_index(rules)]))
-    rows = df.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
-    rows = rows.withColumns({"_h": host_of(F.col(url)), "_p": path_of(F.col(url))})
-    rows = rows.withColumnsRenamed({"_h": "host", "_p": "path"}) if url not in ("host", "path") else rows.drop(url).withColumnsRenamed({"_h": "host", "_p": "path"})
+    made = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index = _mapped(name)
-        for b in batches:
-            rule, verdict = index.lookup(b.column("host").to_pylist(), b.column("path").to_pylist())
-            verdict = [v or default for v in verdict]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names, "rule", "verdict"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return rows.mapInArrow(judge, schema)
+        for hosts, paths in batches:
+            rule, verdict = index.lookup(hosts.to_pylist(), paths.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array([v or default for v in verdict], pa.string())], ["rule", "verdict"])
+
+    new = ("host", "path", "rule", "verdict")
+    own = [c for c in df.columns if c not in new]
+    rows = df.select(F.struct(*own, F.lit(None).alias("none")).alias("row"), host_of(F.col(url).cast("string")).alias("host"), path_of(F.col(url).cast("string")).alias("path"))
+    rows = rows.withColumn("judged", F.arrow_udf(judge, made)("host", "path"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in own), "host", "path", "judged.rule", "judged.verdict")

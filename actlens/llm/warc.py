@@ -81,11 +81,14 @@ def parse_record(raw: bytes) -> dict:
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A dictionary, or empty bytes where the samples are too few to train one."""
+    """A dictionary; where the samples are too few to train one, their last bytes, which serve as a raw one."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
+        if len(samples) >= 8:
+            return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    raw = b"".join(samples)[-size:]
+    return raw if len(raw) >= 8 else b""
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -123,10 +126,11 @@ def write_archives(
     Of the rows with equal payloads of at least ``min_revisit_bytes`` bytes, those with the smallest
     page_id are responses and the others revisit it; smaller payloads are all responses. A null html
     is an empty payload; a null url is left out; null page_ids come last. Rows repeated with one
-    page_id and payload are of one type. Other columns are not archived.
+    page_id and payload are of one type. Other columns are not archived, whatever their names. An empty table gives
+    an empty index; payloads of any length are archived whole.
 
     The dictionary is trained on ``sample_records`` whole records at most, of up to
-    ``sample_record_bytes`` bytes each, those first by a hash of page_id and payload.
+    ``sample_record_bytes`` bytes each, those first by a hash of page_id and payload. With fewer than eight it is made of the records' bytes as they are.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
@@ -135,10 +139,12 @@ def write_archives(
     small = rows.where(fits & rank.isin(ranks)).dropDuplicates(["page_id", "html"]).orderBy(rank, "page_id").limit(sample_records) if ranks else rows.limit(0)
     samples = [record_bytes(r.page_id, r.url, r.html.encode(), None, False, date) for r in small.collect()]
     dictionary = train_dictionary(samples, dictionary_bytes)
-    keyed = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary")))
-    first = keyed.groupBy("_digest").agg(F.min("page_id").alias("_first"))
-    # The side with every row may have one hot digest: adaptive execution splits it, as the other side has one row a digest.
-    linked = keyed.join(first, "_digest").select("page_id", "url", "html", "_first")
+    keyed = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    # Only digests are shuffled; those of several rows are few as a rule, and then the join needs no shuffle of pages.
+    # Where they are many and one is hot, adaptive execution splits it, as the other side has one row a digest.
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = scratch.save(first, "repeated", like=rows)
+    linked = keyed.join(first, "digest", "left").select("page_id", "url", "html", F.col("first").alias("_first"))
     root = scratch.path("archives")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +166,7 @@ def write_archives(
                         out.write(head := dictionary_frame(dictionary))
                         at = len(head)
                     page_id, ref, raw = page_id.as_py(), ref.as_py(), html.as_py().encode()
-                    revisit = len(raw) >= min_revisit_bytes and page_id != ref
+                    revisit = ref is not None and len(raw) >= min_revisit_bytes and page_id != ref
                     frame = pack.compress(record_bytes(page_id, url.as_py(), raw, ref, revisit, date))
                     out.write(frame)
                     index.append((page_id, name, at, len(frame)))

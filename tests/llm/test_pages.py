@@ -4,15 +4,21 @@ import base64
 import gzip
 import hashlib
 import io
+import math
+import os
+import re
 import struct
+import time
 import zipfile
 import zlib
+from html import unescape as html_unescape
 
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from actlens.llm import urlfilter
+from actlens.llm import htmltext, urlfilter
 from actlens.llm.htmltext import extract_text, main_text
 from actlens.llm.media import describe_stored, encode_text, make_sniffer, sniff_media, to_payload, wav_bytes, wav_samples
 from actlens.llm.queries_urlfilter import RULES
@@ -43,9 +49,9 @@ def brute_filter(url):
 
 
 def test_filter_equals_brute_force(spark):
-    rows = [(i, u, "kept") for i, u in enumerate(URLS + URLS)]
-    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id int, url string, rule string"), RULES).collect()
-    assert len(got) == len(rows)
+    rows = [(i, u, "old", "kept", i) for i, u in enumerate(URLS + URLS + ["http://a.org/" + "es/" * 200_000])]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id int, url string, rule string, _h string, row int"), RULES).collect()
+    assert len(got) == len(rows) and all(r["_h"] == "kept" and r["row"] == r.page_id for r in got)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == brute_filter(r.url), r.url
     assert urlfilter.filter_urls(spark.createDataFrame([], "url string"), RULES).count() == 0
@@ -96,6 +102,94 @@ def test_flat_pages():
         assert main_text(page) == "\n".join(parts), page
 
 
+P = "".join(f"<p>{LONG * k}</p>" for k in (2, 3, 1, 4))
+PT = "\n".join((LONG * k).strip() for k in (2, 3, 1, 4))
+LAYOUTS = [
+    (f'<body><nav><a href=x>a</a></nav><div class="content has-sidebar"><h1>T</h1>{P}</div><div class=sidebar><p>{LONG}</p></div></body>', "T\n" + PT),
+    (f'<body><div class="with-nav"><h1>T</h1>{P}</div><footer>x y</footer>', "T\n" + PT),
+    (f'<body><div class="search-results-page">{P}</div>', PT),
+    (f"<body><form action=x><div id=page><h1>T</h1>{P}<input name=q><button>Go</button></div></form>", "T\n" + PT),
+    (f'<body><article><h1>T</h1>{P}<blockquote class="alert notice">{LONG}</blockquote></article>', "T\n" + PT + "\n" + LONG.strip()),
+    (f"<body><article><h1>T</h1>{P}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "T\n" + PT + "\nso x=1 holds"),
+    (f"<body><article><h1><a href=x>Title of it</a></h1>{P}<ul><li><a href=1>ref one</a></li><li><a href=2>ref two</a></li></ul></article><footer>f</footer>", "Title of it\n" + PT + "\nref one\nref two"),
+    (f"<body><div class=wrap><div class=menu><a href=1>x</a><a href=2>y</a></div><div class=c><h1>T</h1><section>{P}</section><section>{P}</section></div></div><footer>foo bar</footer>", "T\n" + PT + "\n" + PT),
+    (f"<body><header><a href=/>Site</a></header><div class=page><h1>T</h1><div class=text>{P}</div><div class=share><a href=a>Tw</a></div></div>", "T\n" + PT),
+    (f'<body><article class="post has-comments"><h1>T</h1>{P}<div class="comment-list"><div class=comment><p>{LONG * 9}</p></div></div></article>', "T\n" + PT),
+    (f"<body><div class=cookie-notice><p>{LONG}</p></div><article><h1>T</h1>{P}</article>", "T\n" + PT),
+    (f"<body><main><article><h2>A</h2>{P}</article><article><h2>B</h2>{P}</article></main><aside><p>{LONG}</p></aside>", "A\n" + PT + "\nB\n" + PT),
+    (f"<body><article><h1>T</h1><p>short</p></article><footer>{LONG * 3}</footer>", "T\nshort"),
+]
+
+
+@pytest.mark.parametrize("page,text", LAYOUTS)
+def test_layouts(page, text):
+    assert main_text(page) == text
+
+
+def brute_density(node, body):
+    """Characters, tags and density of a node by walking its whole subtree."""
+    chars = tags = link_chars = link_tags = 0
+    todo = [(node, node.name == "a")]
+    while todo:
+        x, linked = todo.pop()
+        for y in x.items:
+            if isinstance(y, str):
+                chars += len("".join(y.split()))
+                link_chars += len("".join(y.split())) * linked
+            elif not y.drop:
+                tags, link_tags = tags + 1, link_tags + (y.name == "a")
+                todo.append((y, linked or y.name == "a"))
+    if node is body:
+        return chars, link_chars
+    total, in_links = brute_density(body, body)
+    if not chars:
+        return 0.0
+    rest, t, lt = max(1, chars - link_chars), max(1, tags), max(1, link_tags)
+    base = math.log(chars / rest * link_chars + in_links / max(1, total) * chars + math.e)
+    return chars / t * math.log(max(chars / max(1, link_chars) * t / lt, 1.0000001)) / base
+
+
+def test_density_equals_brute_force():
+    for page, _ in LAYOUTS:
+        nodes = htmltext.measure(htmltext.parse(page), hints=False)
+        body = htmltext.body_of(nodes)
+        for x in nodes:
+            if x is not body:
+                assert x.density == pytest.approx(brute_density(x, body)), page
+            assert x.total == pytest.approx(sum(y.density for y in x.items if not isinstance(y, str) and not y.drop and y.block))
+            below = [y for y in nodes if y is x or any(z is x for z in above(y))]
+            assert x.top.total == max(y.total for y in below)
+
+
+def above(x):
+    while x.parent is not None:
+        x = x.parent
+        yield x
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_text_with_and_without_names():
+    """On pages whose text is their ``article``: exact with the names of elements and classes, nearly so by densities alone."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    exact = dense = 0
+    for page in pages:
+        inner = re.search("<article>(.*)</article>", page, re.S)[1]
+        parts = (" ".join(html_unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner))
+        want = "\n".join(x for x in parts if x)
+        exact, dense = exact + (main_text(page) == want), dense + (main_text(page, hints=False) == want)
+    assert exact == len(pages) and dense >= 0.95 * len(pages)
+
+
+def test_time_is_linear():
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "</b>" * n, "<b><article>" + "<div>" * n + "</b>" * n, "<p>" * n + "</q>" * n):
+            main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000 + "deep", "<p>" * 5000 + "x", "<a <b <c \"", "<", "</", "&", "<table><tr><td>a<td>b", "<!--", "<script>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(main_text(page), str)
@@ -195,4 +289,6 @@ def test_media_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(wav_bytes(payload)).hexdigest() and r.feature.startswith("audio/wav;bits=8;channels=1;")
     assert got[0].feature == got[6].feature
+    odd = spark.createDataFrame([(1, None), (2, b"plain"), (3, png())], "doc_id int, media binary").withColumn("declared_type", F.lit("audio/wav"))
+    assert all(r.payload_sha256 is None and r.feature is None for r in describe_stored(sniff_media(odd)).collect())
     assert describe_stored(sniff_media(encode_text(df.where(F.lit(False))))).count() == 0

@@ -429,5 +429,9 @@ def test_language(spark):
     fresh = [x for x in language.identify(docs, model).where(held_out(F.col("doc_id"))).collect() if x.doc_id < 450]
     assert len(fresh) > 50 and np.mean([x.lang_pred == x.lang for x in fresh]) > 0.97 and all(0 <= x.score <= 1 for x in fresh)
     assert language.identify(docs.limit(0), model).count() == 0
+    sub = language.Subwords(len(model.embedding))
+    for t in ("ab cd, " * 60_000, "x" * 450_000, ""):  # cut into pieces, a text has the same subwords
+        (ids, _), (own, _) = sub.ids([t]), sub.ids(list(language.pieces(t)))
+        assert max(map(len, language.pieces(t))) <= language.PIECE and (sorted(ids) == sorted(own) or " " not in t)
     with pytest.raises(ValueError):
         language.fit_language(docs.limit(0))
