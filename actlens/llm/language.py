@@ -125,11 +125,15 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, least_steps: int = 150, rate: float = 0.5, snippet: int = 240, batch: int = 64, accept: float = 0.99, seed: int = 7) -> LanguageModel:
+def shrunk(x: np.ndarray, most: float) -> np.ndarray:
+    return x * min(1.0, most / max(1e-12, float(np.sqrt((x * x).sum()))))
+
+
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, least_steps: int = 150, rate: float = 0.5, snippet: int = 240, batch: int = 64, clip: float = 0.05, accept: float = 0.99, seed: int = 7) -> LanguageModel:
     """Fits a model; every fifth text is kept for calibration. Needs one text at least.
 
     The texts are gone through ``epochs`` times, or more often if they are so few that this gives fewer than ``least_steps``
-    steps.
+    steps. Steps with a norm over ``clip`` are shortened to it: where labels are learned early, full ones diverge.
     """
     random = np.random.default_rng(seed)
     names = sorted(set(labels))
@@ -164,12 +168,13 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
             p *= weight[y_all[rows], None]
             lr = rate * (1 - step / steps)
             grad = p @ model.weights.T
-            model.weights -= lr * mean.T @ p / len(rows) * 4
+            step_w = mean.T @ p / len(rows)
+            model.weights -= 4 * lr * shrunk(step_w, clip)
             model.bias -= lr * p.mean(axis=0)
             share = np.repeat(grad / n[:, None], np.diff(first), axis=0)
             uniq, slot = np.unique(ids, return_inverse=True)
             move = np.stack([np.bincount(slot, share[:, d], len(uniq)) for d in range(dim)], axis=1)
-            model.embedding[uniq] -= (lr * 40 * move).astype(np.float32)
+            model.embedding[uniq] -= (40 * lr * shrunk(move, clip)).astype(np.float32)
             step += 1
     z, y = model.logits([texts[i] for i in rest], sub), y_all[rest]
 
