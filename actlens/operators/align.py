@@ -12,12 +12,12 @@ streams match exactly where these numbers meet. Both work on one chunk in one ro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from actlens.functions.text import PIECES, normalize
@@ -69,7 +69,25 @@ def align_exact(streams: Sequence[Sequence[int]], decode: Sequence[Callable[[Seq
 
 def align_boundaries(pieces: Sequence[Sequence[str]], max_window: int = MAX_WINDOW) -> Aligned:
     """Aligns token pieces that join to one text."""
-    solid = [np.array([len("".join(p.split())) for p in s], np.int64) for s in pieces]
+    starts, ends, completed = meet(pieces, max_window)
+    return Aligned([s.tolist() for s in starts], [e.tolist() for e in ends], completed)
+
+
+#: Which code points, of the first 2**16, are no white space; none beyond is.
+SOLID = np.frombuffer(bytes(not chr(i).isspace() for i in range(1 << 16)), bool)
+
+
+def solid_counts(pieces: Sequence[str]) -> np.ndarray:
+    """Characters of each piece that aren't white space."""
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    code = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sums = np.concatenate(([0], np.cumsum(SOLID[np.minimum(code, (1 << 16) - 1)])))[np.concatenate(([0], ends)).astype(np.int64)]
+    return np.diff(sums)
+
+
+def meet(pieces: Sequence[Sequence[str]], max_window: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """For each stream the first and last tokens of the windows that match, and whether the walk came to the end."""
+    solid = [solid_counts(s) for s in pieces]
     places = [np.flatnonzero(x) for x in solid]
     marks = [np.cumsum(x)[p] for x, p in zip(solid, places, strict=True)]
     common = marks[0]
@@ -87,7 +105,7 @@ def align_boundaries(pieces: Sequence[Sequence[str]], max_window: int = MAX_WIND
         if len(wide) > 1 or sizes[wide[0], k] > max_window + 1 or wide[0] != last:
             keep, completed = int(k), False
             break
-    return Aligned([s[:keep].tolist() for s in starts], [e[:keep].tolist() for e in ends], bool(completed))
+    return [s[:keep] for s in starts], [e[:keep] for e in ends], bool(completed)
 
 
 ALIGNED = "doc_id long, chunk_idx int, k int, starts array<int>, ends array<int>, windows array<string>, completed boolean"
@@ -95,7 +113,7 @@ SUMMARY = "doc_id long, chunk_idx int, n_tokens array<int>, n_aligned int, compl
 
 
 def tokenizers(streams: Sequence[int]) -> list[Callable[[str], list[str]]]:
-    return [regex.compile(PIECES[i]).findall for i in streams]
+    return [re.compile(PIECES[i]).findall for i in streams]
 
 
 def align_chunks(chunks: DataFrame, streams: Sequence[int] = (0, 1, 2), max_window: int = MAX_WINDOW) -> DataFrame:
@@ -105,25 +123,43 @@ def align_chunks(chunks: DataFrame, streams: Sequence[int] = (0, 1, 2), max_wind
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = tokenizers(streams)
-        schema = pa.schema([("doc_id", pa.int64()), ("chunk_idx", pa.int32()), ("k", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("windows", pa.list_(pa.string())), ("completed", pa.bool_())])
+        cut, n = tokenizers(streams), len(streams)
+        names = ["doc_id", "chunk_idx", "k", "starts", "ends", "windows", "completed"]
         for b in batches:
-            rows = []
-            for doc, chunk, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "chunk_idx", "chunk_text")), strict=True):
+            row: list[int] = []
+            starts, ends, windows, done = [], [], [], []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                at, each = np.array(row), np.array([len(s) for s in starts], np.int64)
+                owner = np.repeat(at, each)
+                lists = pa.array(np.arange(each.sum() + 1, dtype=np.int32) * n)
+                columns = [pa.ListArray.from_arrays(lists, pa.array(np.concatenate(x).reshape(-1).astype(np.int32))) for x in (starts, ends)]
+                k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), b.column("chunk_idx").take(pa.array(owner)), pa.array(k.astype(np.int32)), *columns, pa.ListArray.from_arrays(lists, pa.array(windows, pa.string())), pa.array(np.repeat(np.array(done), each))], names=names)
+
+            for i, text in enumerate(b.column("chunk_text").to_pylist()):
                 pieces = [f(text or "") for f in cut]
-                if len(pieces) == 1:
-                    own = [i for i, p in enumerate(pieces[0]) if p.strip()]
-                    result = Aligned([own], [own], True)
+                if n == 1:
+                    own = np.flatnonzero(solid_counts(pieces[0]))
+                    s, e, completed = [own], [own], True
                 else:
-                    result = align_boundaries(pieces, max_window)
-                for k in range(len(result.ends[0])):
-                    s, e = [x[k] for x in result.starts], [x[k] for x in result.ends]
-                    rows.append((doc, chunk, k, s, e, ["".join(p[a : z + 1]) for p, a, z in zip(pieces, s, e, strict=True)], result.completed))
-                if len(rows) >= 5000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+                    s, e, completed = meet(pieces, max_window)
+                if not len(s[0]):
+                    continue
+                first = [np.concatenate(([0], np.cumsum(np.fromiter(map(len, p), np.int64, len(p))))) for p in pieces]
+                cuts = np.stack([f[x] for f, x in zip(first, s, strict=True)], axis=1).reshape(-1).tolist(), np.stack([f[x + 1] for f, x in zip(first, e, strict=True)], axis=1).reshape(-1).tolist()
+                windows += [text[x:y] for x, y in zip(*cuts, strict=True)]  # pieces join to the text
+                row.append(i)
+                starts.append(np.stack(s, axis=1))
+                ends.append(np.stack(e, axis=1))
+                done.append(completed)
+                size += len(s[0])
+                if size >= 20_000:
+                    yield flush()
+                    row, starts, ends, windows, done, size = [], [], [], [], [], 0
+            if size:
+                yield flush()
 
     return chunks.select("doc_id", "chunk_idx", "chunk_text").mapInArrow(run, ALIGNED)
 
@@ -137,9 +173,39 @@ def align_summary(chunks: DataFrame, streams: Sequence[int] = (0, 1, 2), max_win
             rows = []
             for text in b.column("chunk_text").to_pylist():
                 pieces = [f(text or "") for f in cut]
-                result = align_boundaries(pieces, max_window)
-                rows.append(([len(p) for p in pieces], len(result.ends[0]), result.completed))
+                _, ends, completed = meet(pieces, max_window)
+                rows.append(([len(p) for p in pieces], len(ends[0]), completed))
             n, k, done = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk_idx"), pa.array(n, pa.list_(pa.int32())), pa.array(k, pa.int32()), pa.array(done, pa.bool_())], names=["doc_id", "chunk_idx", "n_tokens", "n_aligned", "completed"])
 
     return chunks.select("doc_id", "chunk_idx", "chunk_text").mapInArrow(run, SUMMARY)
+
+
+def gather_aligned(chunks: DataFrame, streams: Sequence[int], extract: Callable[[int, list[str]], np.ndarray], token_id: Callable[[int, list[str]], np.ndarray], max_window: int = MAX_WINDOW) -> DataFrame:
+    """(doc_id, chunk_idx, k, last_tok, vectors): what each stream has at the last token of each match's window.
+
+    ``extract`` gives the vectors of all tokens of a chunk in a stream, a row each, and ``token_id`` their numbers: here a
+    model takes its place. Chunks are whole rows, so nothing is shuffled. Chunks without a match have no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = tokenizers(streams)
+        for b in batches:
+            for i, text in enumerate(b.column("chunk_text").to_pylist()):
+                pieces = [f(text or "") for f in cut]
+                _, ends, _ = meet(pieces, max_window)
+                n = len(ends[0])
+                if not n:
+                    continue
+                tokens = np.stack([np.asarray(token_id(s, p))[e] for s, p, e in zip(streams, pieces, ends, strict=True)], axis=1)
+                vectors = [np.asarray(extract(s, p), np.float32)[e] for s, p, e in zip(streams, pieces, ends, strict=True)]
+                places = pa.array(np.arange(n + 1, dtype=np.int32))
+                columns = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in vectors]
+                nested = pa.StructArray.from_arrays(columns, [f"v{s}" for s in streams])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(np.full(n, i))), b.column("chunk_idx").take(pa.array(np.full(n, i))), places.slice(0, n), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(streams)), pa.array(tokens.reshape(-1).astype(np.int64))), nested],
+                    names=["doc_id", "chunk_idx", "k", "last_tok", "vectors"],
+                )
+
+    fields = ", ".join(f"v{s}: array<float>" for s in streams)
+    return chunks.select("doc_id", "chunk_idx", "chunk_text").mapInArrow(run, f"doc_id long, chunk_idx int, k int, last_tok array<long>, vectors struct<{fields}>")

@@ -35,35 +35,38 @@ def paragraph_chunks(docs: DataFrame, max_tokens: int) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", F.col("c.t").alias("chunk_text"), F.col("c.n").alias("n_tok"))
 
 
-def token_windows(docs: DataFrame, length: int, skip: int = 0, eos: str = "<eos>") -> DataFrame:
-    """(seq, pos, piece): all documents' tokens in order of doc_id, each followed by ``eos``, cut into windows of ``length``.
+def token_windows(docs: DataFrame, length: int, skip: int = 0, eos: str | None = "<eos>") -> DataFrame:
+    """(seq, pos, piece): all documents' tokens in order of doc_id, each followed by ``eos`` if there is one, cut into windows of ``length``.
 
-    The first ``skip`` tokens, consumed before, are passed over; the last short window is left out. Only counts for
-    each document pass through the ordered running sum; tokens are numbered where they are.
+    The first ``skip`` tokens, consumed before, are passed over; the last short window is left out. Documents repeated with
+    one doc_id are as many documents, in an order of their texts. Only counts pass through a sum over all; a document's
+    tokens are numbered where they are, and shuffled once, into ranges of doc_id.
     """
-    rows = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.concat(pieces(F.col("text"), 0), F.array(F.lit(eos))).alias("toks"))
-    counts = rows.select("doc_id", F.size("toks").cast("long").alias("n"))
-    before = offsets(counts)
-    total = counts.agg(F.sum("n").alias("total"))
-    out = rows.join(before, "doc_id").select("start", F.posexplode("toks").alias("i", "piece")).withColumn("g", F.col("start") + F.col("i") - skip).where("g >= 0")
-    out = out.crossJoin(F.broadcast(total)).where(F.floor(F.col("g") / length) < F.floor((F.col("total") - skip) / length))
+    end = F.array(F.lit(eos)) if eos is not None else F.array().cast("array<string>")
+    rows = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("tie"), F.concat(pieces(F.col("text"), 0), end).alias("toks"))
+    rows = rows.withColumn("n", F.size("toks").cast("long"))
+    out = running(rows, ["doc_id", "tie"]).select("start", F.posexplode("toks").alias("i", "piece")).withColumn("g", F.col("start") + F.col("i") - skip).where("g >= 0")
+    out = out.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("total")))).where(F.floor(F.col("g") / length) < F.floor((F.col("total") - skip) / length))
     return out.select(F.floor(F.col("g") / length).cast("long").alias("seq"), F.pmod("g", F.lit(length)).cast("int").alias("pos"), "piece")
 
 
-def offsets(counts: DataFrame, key: str = "doc_id", n: str = "n", buckets: int = 64) -> DataFrame:
-    """(key, start): the exclusive running sum of ``n`` in order of ``key``, without one task for all rows.
+def running(rows: DataFrame, order: list[str], n: str = "n", buckets: int = 64) -> DataFrame:
+    """``rows`` with ``start``: the exclusive running sum of ``n`` in ``order``, without one task for all rows.
 
-    Rows are dealt into ranges of the key; each range is summed up in its own task, and the ranges' totals, one row
-    for each, in one.
+    Rows are dealt into ranges of the first column of ``order``, a number; each range is summed up in its own task, and
+    the ranges' totals, one row for each, in one. Rows that ``order`` doesn't tell apart come in any order.
     """
-    bounds = [x for x in counts.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)] if buckets > 1 else []
-    bounds = sorted({int(x) for x in bounds})
-    bucket = F.lit(0)
-    for i, x in enumerate(bounds):
-        bucket = F.when(F.col(key) >= x, F.lit(i + 1)).otherwise(bucket)
-    rows = counts.withColumn("_b", bucket)
-    inner = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    key = order[0]
+    bounds = sorted({int(x) for x in rows.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)}) if buckets > 1 else []
+    limits = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<bigint>")
+    rows = rows.withColumn("_b", F.size(F.filter(limits, lambda x: F.col(key) >= x)))
+    inner = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_b").agg(F.sum(n).alias("_n"))
     totals = totals.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rows = rows.withColumn("_own", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(F.broadcast(totals), "_b")
-    return rows.select(key, (F.col("_own") + F.col("_before")).alias("start"))
+    return rows.withColumn("start", F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+
+
+def offsets(counts: DataFrame, key: str = "doc_id", n: str = "n", buckets: int = 64) -> DataFrame:
+    """(key, start): the exclusive running sum of ``n`` in order of ``key``."""
+    return running(counts.select(key, n), [key], n, buckets).select(key, "start")

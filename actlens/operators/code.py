@@ -8,6 +8,7 @@ positions x latents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def top_k(x: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest values of each row, largest first; of equal ones the lower column."""
-    return np.argsort(-x, axis=1, kind="stable")[:, :k]
+    if k >= x.shape[1]:
+        return np.argsort(-x, axis=1, kind="stable")[:, :k]
+    least = np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k, None]  # the k-th largest value
+    above, equal = x > least, x == least
+    room = k - above.sum(axis=1, keepdims=True)
+    chosen = above | equal & (np.cumsum(equal, axis=1) <= room)
+    columns = np.nonzero(chosen)[1].reshape(len(x), k)
+    order = np.argsort(-np.take_along_axis(x, columns, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, axis=1)
 
 
 def shared_codes(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
@@ -52,6 +61,48 @@ def shared_codes(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, wei
     return vectors.mapInArrow(run, CODES)
 
 
+def sum_columns(streams: int = len(STREAMS)) -> list[str]:
+    """Names of what :func:`latent_sums` adds up, counts first."""
+    pairs = list(combinations(range(streams), 2))
+    return ["n_gate", "n_all", *(f"n_alive{i}" for i in range(streams)), *(f"{x}{i}{j}" for i, j in pairs for x in ("both", "either")), *(f"{x}{i}" for i in range(streams) for x in ("sum", "square")), *(f"product{i}{j}" for i, j in pairs)]
+
+
+def latent_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
+    """For each task and latent gated in it: positions, active streams, sums of codes, squares and products."""
+    w = weights or [weight(i, latents) for i in range(len(STREAMS))]
+    names = sum_columns(len(w))
+    real = [n.startswith(("sum", "square", "product")) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {n: np.zeros(latents, np.float64 if r else np.int64) for n, r in zip(names, real, strict=True)}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            logits = np.stack([_matrix(b.column(f"x{i}")) @ w[i].T for i in range(len(w))])
+            gate = top_k(logits.sum(axis=0), k)
+            z = np.maximum(np.take_along_axis(logits, np.broadcast_to(gate, (len(w), *gate.shape)), axis=2), 0.0).reshape(len(w), -1)
+            on, at = z > 0, gate.reshape(-1)
+
+            def add(name: str, values: np.ndarray) -> None:
+                got = np.bincount(at, values, latents)
+                total[name] += got if total[name].dtype == np.float64 else got.astype(np.int64)
+
+            add("n_gate", np.ones(len(at)))
+            add("n_all", on.all(axis=0))
+            for i in range(len(w)):
+                add(f"n_alive{i}", on[i])
+                add(f"sum{i}", z[i])
+                add(f"square{i}", z[i] * z[i])
+            for i, j in combinations(range(len(w)), 2):
+                add(f"both{i}{j}", on[i] & on[j])
+                add(f"either{i}{j}", on[i] | on[j])
+                add(f"product{i}{j}", z[i] * z[j])
+        rows = np.flatnonzero(total["n_gate"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[n][rows]) for n in names)], names=["latent", *names])
+
+    return vectors.mapInArrow(run, "latent int, " + ", ".join(f"{n} {'double' if r else 'long'}" for n, r in zip(names, real, strict=True)))
+
+
 def dead_gate(vectors: DataFrame, dead: DataFrame, k: int, latents: int = LATENTS) -> DataFrame:
     """The auxiliary gate: for each stream, its k largest logits with those of live latents set to 0.
 

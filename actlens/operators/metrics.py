@@ -1,7 +1,8 @@
 """Feature analytics over sparse codes (pos_id, latent, rank, stream_idx, z).
 
-All are mergeable sums: partial aggregation leaves one row for each task and latent (or stream and
-latent, or pair and latent) to shuffle, whatever the number of positions.
+All are mergeable sums. From vectors, ``code.latent_sums`` adds them up where the codes are made: one row for each task
+and latent is shuffled, whatever the number of positions. From codes in long form, ``latent_counts`` first has to bring a
+position's streams together.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actlens.operators.code import latent_sums
 from actlens.operators.streams import LATENTS, STREAMS
 
 N = len(STREAMS)
@@ -39,11 +41,21 @@ def latent_counts(codes: DataFrame, latents: int = LATENTS) -> DataFrame:
         aggs += [_count(alive[i]).alias(f"n_alive{i}"), F.sum(f"z{i}").alias(f"sum{i}"), F.sum(F.col(f"z{i}") * F.col(f"z{i}")).alias(f"square{i}")]
     for i, j in PAIRS:
         aggs += [_count(alive[i] & alive[j]).alias(f"both{i}{j}"), _count(alive[i] | alive[j]).alias(f"either{i}{j}"), F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"product{i}{j}")]
-    counts = rows.groupBy("latent").agg(*aggs)
-    grid = codes.sparkSession.range(latents).select(F.col("id").cast("int").alias("latent"))
+    return on_grid(rows.groupBy("latent").agg(*aggs), latents)
+
+
+def on_grid(counts: DataFrame, latents: int = LATENTS) -> DataFrame:
+    """A row for every latent; zeros for those that have none."""
+    grid = counts.sparkSession.range(latents).select(F.col("id").cast("int").alias("latent"))
     return grid.join(counts, "latent", "left").na.fill(0)
 
 
+def vector_counts(vectors: DataFrame, latents: int = LATENTS, **how) -> DataFrame:
+    """The columns of :func:`latent_counts`, straight from vectors and without a shuffle of codes."""
+    sums = latent_sums(vectors, latents=latents, **how)
+    return on_grid(sums.groupBy("latent").agg(*[F.sum(c).alias(c) for c in sums.columns if c != "latent"]), latents)
+
+
 def rates(counts: DataFrame, n_positions: Column | int) -> DataFrame:
     """gate_rate, firing<i>, agreement and mean<i> for each latent."""
     n = n_positions if isinstance(n_positions, Column) else F.lit(n_positions)
@@ -83,7 +95,8 @@ def regimes(rated: DataFrame, alive_above: float = 1e-4, universal_above: float
 
 
 def alive(rated: DataFrame, alive_above: float = 1e-4) -> DataFrame:
-    return rated.where(F.col("gate_rate") > alive_above)
+    """Latents that fire above the threshold in one stream at least; being gated isn't enough."""
+    return rated.where(F.greatest(*[F.col(f"firing{i}") for i in range(N)]) > alive_above)
 
 
 def firing_histogram(values: DataFrame, column: str, bins: int = 59) -> DataFrame:

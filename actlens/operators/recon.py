@@ -9,46 +9,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlens.functions.vectors import nmse
 from actlens.operators.code import _matrix, top_k
 from actlens.operators.streams import LATENTS, STREAMS, TOP_K, weight
 
 #: Makes decoded values of the closed-form weights comparable to the inputs.
 DECODE_SCALE = 1.0 / (498.0 * 498.0 * 64.0)
-RECON = "pos_id long, source int, target int, recon array<double>, x array<double>"
+SUMS = "source int, target int, dim int, n long, nmse double, res double, s double, ss double"
 
 
-def reconstructions(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
-    """(pos_id, source, target, recon, x) for every ordered pair of streams, each with itself included.
+def loss_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
+    """For each task, ordered pair of streams (each with itself included) and dimension of the target: mergeable sums.
 
-    The decoder is the transposed encoder times ``DECODE_SCALE``; a row without active codes decodes to zeros.
+    ``n`` positions; ``res`` the squared residuals of what ``source``'s codes decode to, ``s`` and ``ss`` the target's
+    values and their squares. ``nmse``, the sum of the positions' normalised errors, stands at dimension 0 and is 0
+    elsewhere. The decoder is the transposed encoder times ``DECODE_SCALE``; a row without active codes decodes to zeros.
+    Nothing of a position's size leaves the task.
     """
     w = weights or [weight(i, latents) for i in range(len(STREAMS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        res = {(s, t): np.zeros(w[t].shape[1]) for s in range(len(w)) for t in range(len(w))}
+        one, two, nmse, n = [np.zeros(x.shape[1]) for x in w], [np.zeros(x.shape[1]) for x in w], dict.fromkeys(res, 0.0), 0
         for b in batches:
             if not b.num_rows:
                 continue
+            n += b.num_rows
             x = [_matrix(b.column(f"x{i}")) for i in range(len(w))]
             logits = [x[i] @ w[i].T for i in range(len(w))]
-            gate = top_k(sum(logits), k)
             mask = np.zeros_like(logits[0])
-            np.put_along_axis(mask, gate, 1.0, axis=1)
-            for s in range(len(w)):
-                z = np.maximum(logits[s], 0.0) * mask
-                for t in range(len(w)):
-                    recon = z @ w[t] * DECODE_SCALE
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("pos_id"), pa.array(np.full(b.num_rows, s, np.int32)), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(list(recon), pa.list_(pa.float64())), pa.array(list(x[t]), pa.list_(pa.float64()))],
-                        names=["pos_id", "source", "target", "recon", "x"],
-                    )
-
-    return vectors.mapInArrow(run, RECON)
-
-
-def mean_nmse(recons: DataFrame) -> DataFrame:
+            np.put_along_axis(mask, top_k(sum(logits), k), 1.0, axis=1)
+            for t in range(len(w)):
+                one[t] += x[t].sum(axis=0)
+                two[t] += (x[t] * x[t]).sum(axis=0)
+                size = np.maximum((x[t] * x[t]).mean(axis=1), 1e-8)
+                for s in range(len(w)):
+                    err = (np.maximum(logits[s], 0.0) * mask @ w[t] * DECODE_SCALE - x[t]) ** 2
+                    res[s, t] += err.sum(axis=0)
+                    nmse[s, t] += float((err.mean(axis=1) / size).sum())
+        for (s, t), r in res.items() if n else ():
+            d = len(r)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.full(d, v, np.int32)) for v in (s, t)), pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n, np.int64)), pa.array(np.where(np.arange(d) == 0, nmse[s, t], 0.0)), pa.array(r), pa.array(one[t]), pa.array(two[t])],
+                names=["source", "target", "dim", "n", "nmse", "res", "s", "ss"],
+            )
+
+    return vectors.mapInArrow(run, SUMS)
+
+
+def mean_nmse(sums: DataFrame) -> DataFrame:
     """(source, target, nmse) averaged over positions."""
-    return recons.groupBy("source", "target").agg(F.avg(nmse(F.col("recon"), F.col("x"))).alias("nmse"))
+    return sums.groupBy("source", "target").agg((F.sum("nmse") / F.sum(F.when(F.col("dim") == 0, F.col("n")))).alias("nmse"))
 
 
 def total_loss(means: DataFrame, cross_weight: float = 1.0) -> DataFrame:
@@ -57,10 +67,28 @@ def total_loss(means: DataFrame, cross_weight: float = 1.0) -> DataFrame:
     return means.agg(own.alias("avg_self"), cross.alias("avg_cross")).withColumn("total_loss", F.col("avg_self") + cross_weight * F.col("avg_cross"))
 
 
-def fvu(recons: DataFrame) -> DataFrame:
+def fvu(sums: DataFrame) -> DataFrame:
     """(source, target, fvu, fve): residual sum of squares over the total one around each dimension's mean."""
-    each = recons.select("source", "target", F.posexplode(F.arrays_zip("recon", "x")).alias("dim", "v"))
-    r, x = F.col("v.recon"), F.col("v.x")
-    dims = each.groupBy("source", "target", "dim").agg(F.sum((x - r) * (x - r)).alias("res"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.count("*").alias("n"))
+    dims = sums.groupBy("source", "target", "dim").agg(F.sum("res").alias("res"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
     out = dims.groupBy("source", "target").agg(F.sum("res").alias("res"), F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("tot"))
     return out.select("source", "target", (F.col("res") / F.greatest("tot", F.lit(1e-12))).alias("fvu")).withColumn("fve", 1 - F.col("fvu"))
+
+
+def l1_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
+    """(stream_idx, n, l1) for each task: positions and the sum of their codes' absolute sum over the input's norm."""
+    w = weights or [weight(i, latents) for i in range(len(STREAMS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(w)), 0
+        for b in batches:
+            if b.num_rows:
+                x = [_matrix(b.column(f"x{i}")) for i in range(len(w))]
+                logits = [x[i] @ w[i].T for i in range(len(w))]
+                gate = top_k(sum(logits), k)
+                n += b.num_rows
+                for i in range(len(w)):
+                    z = np.maximum(np.take_along_axis(logits[i], gate, axis=1), 0.0).sum(axis=1)
+                    total[i] += float((z / np.maximum(np.sqrt((x[i] * x[i]).sum(axis=1)), 1e-8)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.full(len(w), n, np.int64)), pa.array(total)], names=["stream_idx", "n", "l1"])
+
+    return vectors.mapInArrow(run, "stream_idx int, n long, l1 double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actlens.functions.vectors import l1_ratio, l2_norm, rms
+from actlens.functions.vectors import l2_norm, rms
 from actlens.operators import code, metrics, recon
 from actlens.operators.streams import LATENTS, STREAMS, long_vectors, stream_vectors, weight
 
@@ -28,7 +28,7 @@ def n_positions(spark: SparkSession, sf: str) -> int:
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.latent_counts(codes(spark, sf))
+    return metrics.vector_counts(vectors(spark, sf))
 
 
 def rated(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,8 +62,8 @@ def universality_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l0_mean(spark: SparkSession, sf: str) -> DataFrame:
-    n = n_positions(spark, sf)
-    return codes(spark, sf).groupBy("stream_idx").agg((F.sum((F.col("z") > 0).cast("long")) / F.lit(n)).alias("l0"))
+    each = F.array(*[F.struct(F.lit(i).alias("stream_idx"), F.col(f"n_alive{i}").alias("n")) for i in range(len(STREAMS))])
+    return counts(spark, sf).select(F.inline(each)).groupBy("stream_idx").agg((F.sum("n") / F.lit(n_positions(spark, sf))).alias("l0"))
 
 
 def pairwise_jaccard(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,23 +114,22 @@ def agreement_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_nmse(spark: SparkSession, sf: str) -> DataFrame:
-    return recon.mean_nmse(recon.reconstructions(vectors(spark, sf))).select("source", "target", F.round("nmse", 6).alias("nmse"))
+    return recon.mean_nmse(recon.loss_sums(vectors(spark, sf))).select("source", "target", F.round("nmse", 6).alias("nmse"))
 
 
 def total_loss(spark: SparkSession, sf: str) -> DataFrame:
-    out = recon.total_loss(recon.mean_nmse(recon.reconstructions(vectors(spark, sf))))
+    out = recon.total_loss(recon.mean_nmse(recon.loss_sums(vectors(spark, sf))))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 def fvu_fve(spark: SparkSession, sf: str) -> DataFrame:
-    return recon.fvu(recon.reconstructions(vectors(spark, sf))).select("source", "target", F.round("fvu", 6).alias("fvu"), F.round("fve", 6).alias("fve"))
+    return recon.fvu(recon.loss_sums(vectors(spark, sf))).select("source", "target", F.round("fvu", 6).alias("fvu"), F.round("fve", 6).alias("fve"))
 
 
 def l1_norm(spark: SparkSession, sf: str) -> DataFrame:
     """Mean over positions of the codes' absolute sum over the input's norm, for each stream."""
-    z = codes(spark, sf).groupBy("pos_id", "stream_idx").agg(F.collect_list("z").alias("z"))  # k values a row
-    rows = long_vectors(vectors(spark, sf)).join(z, ["pos_id", "stream_idx"])
-    return rows.groupBy("stream_idx").agg(F.round(F.avg(l1_ratio(F.col("z"), F.col("x"))), 4).alias("l1"))
+    rows = recon.l1_sums(vectors(spark, sf))
+    return rows.groupBy("stream_idx").agg(F.round(F.sum("l1") / F.sum("n"), 4).alias("l1"))
 
 
 def plain_sae_loss(spark: SparkSession, sf: str, l1: float = 1e-3) -> DataFrame:
@@ -257,11 +256,11 @@ SQL = {
     "regime_counts": BASE
     + """SELECT count(*) FILTER (u)::BIGINT AS universal, count(*) FILTER (k = 1)::BIGINT AS specific, count(*) FILTER (k = 0)::BIGINT AS dead, count(*) FILTER (NOT u AND k > 1)::BIGINT AS ambiguous
       FROM (SELECT agreement > 0.9 AND gate_rate > 1e-4 AS u, (firing0 > 1e-4)::INT + (firing1 > 1e-4)::INT + (firing2 > 1e-4)::INT AS k FROM rated)""",
-    "agreement_percentiles": BASE + "SELECT " + ", ".join(f"round(coalesce(quantile_cont(agreement::DOUBLE, {p}), 0.0), 9) AS p{int(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM rated WHERE gate_rate > 1e-4",
-    "top_universal": BASE + "SELECT latent, agreement FROM rated WHERE gate_rate > 1e-4 ORDER BY agreement DESC, latent LIMIT 20",
-    "top_specific": BASE + "SELECT latent, agreement FROM rated WHERE gate_rate > 1e-4 ORDER BY agreement, latent LIMIT 20",
+    "agreement_percentiles": BASE + "SELECT " + ", ".join(f"round(coalesce(quantile_cont(agreement::DOUBLE, {p}), 0.0), 9) AS p{int(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM rated WHERE greatest(firing0, firing1, firing2) > 1e-4",
+    "top_universal": BASE + "SELECT latent, agreement FROM rated WHERE greatest(firing0, firing1, firing2) > 1e-4 ORDER BY agreement DESC, latent LIMIT 20",
+    "top_specific": BASE + "SELECT latent, agreement FROM rated WHERE greatest(firing0, firing1, firing2) > 1e-4 ORDER BY agreement, latent LIMIT 20",
     "firing_rate_hist": BASE + "SELECT least(floor((log10(greatest(r, 1e-6)) + 6.0) * 59 / 6.0 + 1e-9), 58)::INT AS bin, count(*)::BIGINT AS n FROM (SELECT firing0 AS r FROM rated UNION ALL SELECT firing1 FROM rated UNION ALL SELECT firing2 FROM rated) GROUP BY 1",
-    "agreement_hist": BASE + "SELECT least(floor((agreement - lo) / greatest(hi - lo, 1e-300) * 50 + 1e-9), 49)::INT AS bin, count(*)::BIGINT AS n FROM rated, (SELECT min(agreement) AS lo, max(agreement) AS hi FROM rated WHERE gate_rate > 1e-4) WHERE gate_rate > 1e-4 GROUP BY 1",
+    "agreement_hist": BASE + "SELECT least(floor((agreement - lo) / greatest(hi - lo, 1e-300) * 50 + 1e-9), 49)::INT AS bin, count(*)::BIGINT AS n FROM rated, (SELECT min(agreement) AS lo, max(agreement) AS hi FROM rated WHERE greatest(firing0, firing1, firing2) > 1e-4) WHERE greatest(firing0, firing1, firing2) > 1e-4 GROUP BY 1",
     "stream_nmse": RECON + "SELECT src::INT AS source, tgt::INT AS target, round(nmse, 6) AS nmse FROM nm",
     "total_loss": RECON + "SELECT round(a, 6) AS avg_self, round(b, 6) AS avg_cross, round(a + b, 6) AS total_loss FROM (SELECT avg(nmse) FILTER (src = tgt) AS a, avg(nmse) FILTER (src <> tgt) AS b FROM nm)",
     "fvu_fve": RECON

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,15 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_long_document(spark: SparkSession, sf: str) -> DataFrame:
+    return one_long(spark, sf).select("doc_id", F.length("text").alias("n_chars"))
+
+
+def one_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The first document of over 1000 characters; none is an error."""
     rows = docs(spark, sf).where(F.length("text") > 1000).orderBy("doc_id").limit(1)
-    return rows.select("doc_id", F.length("text").alias("n_chars"))
+    if rows.isEmpty():
+        raise ValueError("no document has over 1000 characters")
+    return rows
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,10 +86,43 @@ def align_three(spark: SparkSession, sf: str) -> DataFrame:
 
 def align_report(spark: SparkSession, sf: str) -> DataFrame:
     """The windows of the first chunk of the first long document, in cells of a table."""
-    one = docs(spark, sf).where(F.length("text") > 1000).orderBy("doc_id").limit(1)
-    rows = align.align_chunks(chunk.paragraph_chunks(one, CHUNK).where("chunk_idx = 0"))
-    parts = [F.regexp_extract_all(F.col("windows")[1], F.lit("(?s).{1,3}"), F.lit(0))]
-    return rows.select("doc_id", "k", cell(format_window(F.array(F.col("windows")[0]))).alias("cell0"), cell(format_window(parts[0])).alias("cell1"))
+    rows = align.align_chunks(chunk.paragraph_chunks(one_long(spark, sf), CHUNK).where("chunk_idx = 0"))
+    cells = [cell(format_window(pieces(F.col("windows")[i], i))).alias(f"cell{i}") for i in (0, 2)]
+    # Three characters a piece, counted from the chunk's start: a window's pieces are those of whole threes.
+    cells.insert(1, cell(format_window(F.regexp_extract_all(F.col("windows")[1], F.lit("(?s).{1,3}"), F.lit(0)))).alias("cell1"))
+    return rows.select("doc_id", "k", *cells)
+
+
+def aligned_store(spark: SparkSession, sf: str) -> DataFrame:
+    """From documents to a store and back: chunks, tokens, alignment, vectors at the last tokens, shards, and rows read by batch."""
+    rows = aligned_rows(chunks(spark, sf))
+    kept = store.Store(spark, store.work_dir(spark, "aligned"))
+    kept.write_config(store.StoreConfig(models=[{"name": f"m{i}", "slug": f"m{i}", "hidden_size": VECTOR, "hook_point": "last"} for i in range(3)], shard_size_tokens=STORE_SHARD))
+    kept.append(rows.where(F.col("pos_id") < TARGET), STORE_SHARD)
+    read = kept.scan(["m0", "m1", "m2"]).withColumn("batch_idx", F.floor(F.pmod("pos_id", F.lit(STORE_SHARD)) / STORE_BATCH))
+    tokens = [F.sum(f"last_tok_m{i}").alias(f"tokens{i}") for i in range(3)]
+    values = [F.sum(F.aggregate(f"model_m{i}", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias(f"values{i}") for i in range(3)]
+    return read.groupBy("shard_index", "batch_idx").agg(F.min("pos_id").alias("first_pos"), F.count("*").alias("n"), *tokens, *values)
+
+
+VECTOR, TARGET, STORE_SHARD, STORE_BATCH = 4, 20_000, 4096, 256
+
+
+def stand_in_vectors(stream: int, toks: list[str]) -> np.ndarray:
+    """Whole numbers from a token's length and place, in place of a model's activations."""
+    n = np.fromiter(map(len, toks), np.int64, len(toks))
+    return (n[:, None] * 31 + np.arange(len(toks))[:, None] * 7 + np.arange(VECTOR) * 13 + stream * 17) % 101
+
+
+def stand_in_ids(stream: int, toks: list[str]) -> np.ndarray:
+    return np.array([ord(t[0]) * 1000 + len(t) for t in toks], np.int64)
+
+
+def aligned_rows(chunks: DataFrame) -> DataFrame:
+    """(pos_id, last_tok_<model>, model_<model>) of all matches in order of document, chunk and match."""
+    rows = align.gather_aligned(chunks, (0, 1, 2), stand_in_vectors, stand_in_ids).withColumn("n", F.lit(1).cast("long"))
+    out = chunk.running(rows, ["doc_id", "chunk_idx", "k"]).withColumnRenamed("start", "pos_id")
+    return out.select("pos_id", *[F.col("last_tok")[i].alias(f"last_tok_m{i}") for i in range(3)], *[F.col("vectors")[f"v{i}"].alias(f"model_m{i}") for i in range(3)])
 
 
 def align_completion(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +155,7 @@ def shard_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 def shard_lookup(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/embeddings.parquet").select((F.col("vec_id") * 7).alias("idx")).where("idx >= 0")
-    return store.locate(n, _shards(spark, sf))
+    return store.locate(n, _shards(spark, sf), strict=False)
 
 
 def range_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,6 +273,16 @@ SQL = {
     "align_three": _aligned((0, 1, 2))
     + f""", win AS (SELECT p.doc_id, p.chunk_idx, p.mark, string_agg(e.piece, '' ORDER BY e.pos) AS window1 FROM spans p JOIN each e ON e.doc_id = p.doc_id AND e.chunk_idx = p.chunk_idx AND e.s = 1 AND e.pos BETWEEN p.start_pos AND p.end_pos WHERE p.s = 1 GROUP BY 1, 2, 3)
     SELECT r.doc_id, r.chunk_idx, r.k, p0.end_pos AS end0, p1.end_pos AS end1, p2.end_pos AS end2, w.window1, r.completed FROM rows r {_J.format(i=0)} {_J.format(i=1)} {_J.format(i=2)} JOIN win w ON w.doc_id = r.doc_id AND w.chunk_idx = r.chunk_idx AND w.mark = r.mark""",
+    "aligned_store": _aligned((0, 1, 2))
+    + """, ordered AS (SELECT r.doc_id, r.chunk_idx, r.mark, row_number() OVER (ORDER BY r.doc_id, r.chunk_idx, r.k) - 1 AS pos_id FROM rows r),
+    tok AS (
+      SELECT o.pos_id, p.s, e.pos, e.piece FROM ordered o JOIN spans p ON p.doc_id = o.doc_id AND p.chunk_idx = o.chunk_idx AND p.mark = o.mark
+      JOIN each e ON e.doc_id = p.doc_id AND e.chunk_idx = p.chunk_idx AND e.s = p.s AND e.pos = p.end_pos WHERE o.pos_id < 20000),
+    val AS (
+      SELECT pos_id, s, (ord(piece) * 1000 + length(piece))::BIGINT AS t, list_sum(list_transform(range(4), lambda d: (length(piece) * 31 + pos * 7 + d * 13 + s * 17) % 101))::DOUBLE AS v FROM tok)
+    SELECT (pos_id // 4096)::INT AS shard_index, (pos_id % 4096) // 256 AS batch_idx, min(pos_id)::BIGINT AS first_pos, (count(*) // 3)::BIGINT AS n,
+      (sum(t) FILTER (s = 0))::BIGINT AS tokens0, (sum(t) FILTER (s = 1))::BIGINT AS tokens1, (sum(t) FILTER (s = 2))::BIGINT AS tokens2,
+      sum(v) FILTER (s = 0) AS values0, sum(v) FILTER (s = 1) AS values1, sum(v) FILTER (s = 2) AS values2 FROM val GROUP BY 1, 2""",
     "align_completion": _aligned((0, 1, 2)) + _DONE + "SELECT count(*)::BIGINT AS n_chunks, count(*) FILTER (completed)::BIGINT AS n_completed, sum(n_aligned)::BIGINT AS n_rows, avg(completed::INT)::DOUBLE AS share FROM every",
     "align_retention": _aligned((0, 1, 2))
     + _DONE
@@ -251,7 +302,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        first_long_document, paragraphs, paragraph_chunks, first_chunks, token_sequences, token_sequences_resume, tokenize_streams, content_tokens, align_two, align_three, align_report, align_completion, align_retention, single_stream_rows,
+        first_long_document, paragraphs, paragraph_chunks, first_chunks, token_sequences, token_sequences_resume, tokenize_streams, content_tokens, align_two, align_three, align_report, aligned_store, align_completion, align_retention, single_stream_rows,
         shard_manifest, shard_offsets, shard_lookup, range_read, batch_plan, batch_count, batch_collate, train_valid_split, slugify_names,
     )
 }

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import random
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,9 +87,15 @@ class Store:
     def append(self, rows: DataFrame, shard_size: int) -> DataFrame:
         """Appends rows with ``pos_id`` counted from 0, in shards; returns their manifest.
 
-        A writer never touches committed shards: those of a run that broke off are written anew.
+        A writer never touches committed shards. What a run that broke off has left beyond them is removed first, so only
+        the rows just written are committed. One writer at a time.
         """
         start, shard = self.committed()
+        fs, where = self._path("shards")
+        for status in fs.listStatus(where) if fs.exists(where) else ():
+            name = status.getPath().getName()
+            if name.startswith("shard_index=") and int(name.partition("=")[2]) >= shard:
+                fs.delete(status.getPath(), True)
         placed = rows.withColumn("shard_index", (F.floor(F.col("pos_id") / shard_size) + shard).cast("int")).withColumn("pos_id", F.col("pos_id") + start)
         placed = placed.repartition("shard_index").sortWithinPartitions("shard_index", "pos_id")
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_index").parquet(f"{self.root}/shards")
@@ -128,10 +136,32 @@ def running_offsets(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("lo", lo).withColumn("hi", lo + F.col("num_tokens"))
 
 
-def locate(indexes: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(idx, shard_index, local): the place of each global index; those out of range are an error of the caller's."""
+def locate(indexes: DataFrame, manifest: DataFrame, strict: bool = True) -> DataFrame:
+    """(idx, shard_index, local): the place of each global index, by an equal join on ranges as long as the longest shard.
+
+    An index out of range is an error, or left out if not ``strict``; a null one is left out.
+    """
     places = running_offsets(manifest)
-    return indexes.join(places, (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))).select("idx", "shard_index", (F.col("idx") - F.col("lo")).alias("local"))
+    size = manifest.agg(F.max("num_tokens")).first()[0] or 1
+    ranges = places.where("num_tokens > 0").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    rows = indexes.where("idx IS NOT NULL").withColumn("bin", F.floor(F.col("idx") / size))
+    found = rows.join(ranges, (rows["bin"] == ranges["bin"]) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")), "left" if strict else "inner")
+    shard = F.col("shard_index")
+    if strict:
+        shard = F.when(shard.isNotNull(), shard).otherwise(F.raise_error(F.concat(F.lit("index out of range: "), F.col("idx").cast("string"))).cast("int"))
+    return found.select("idx", shard.alias("shard_index"), (F.col("idx") - F.col("lo")).alias("local"))
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark runs on one machine, a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="actlens-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/actlens/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def batch_plan(manifest: DataFrame, batch: int, seed: int = 0, drop_last: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
 from actlens.operators import chunk, code, metrics
 from actlens.operators.train import AdamW, Model, calibrate, reinit_dead, train
-from actlens.sources.store import Store, StoreConfig, split_shard_ids
+from actlens.sources.store import Store, StoreConfig, locate, split_shard_ids
 from actlens.streaming.loader import CountBatches, aligned_stream, document_stream, split_validation
 
 
@@ -30,6 +30,32 @@ def test_worked_metrics(spark):
     assert flags[0].ambiguous and not flags[0].universal and flags[1].dead
 
 
+def test_alive_needs_a_firing_stream(spark):
+    """A latent that is gated but never active isn't alive."""
+    rows = [(p, 0, 1, s, 1.0, 1.0) for p in range(4) for s in range(3)] + [(p, 1, 2, s, -1.0, 0.0) for p in range(4) for s in range(3)]
+    rated = metrics.rates(metrics.latent_counts(spark.createDataFrame(rows, code.CODES), latents=3), 4)
+    assert [r.latent for r in metrics.alive(rated).collect()] == [0]
+
+
+def test_sums_of_vectors_equal_those_of_codes(spark):
+    rng = np.random.default_rng(3)
+    dims = (5, 4, 3)
+    w = [rng.integers(-5, 6, (12, d)).astype(float) for d in dims]
+    rows = [(i, *(rng.integers(-9, 10, d).astype(float).tolist() for d in dims)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos_id long, x0 array<double>, x1 array<double>, x2 array<double>").repartition(3)
+    a = metrics.vector_counts(df, latents=12, k=3, weights=w)
+    assert "hashpartitioning(pos_id" not in a._jdf.queryExecution().toString()
+    b = metrics.latent_counts(code.shared_codes(df, k=3, latents=12, weights=w), latents=12)
+    assert sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(a.columns)).collect()))
+
+
+def test_top_k_keeps_the_lower_column():
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 8, 9):
+        x = rng.integers(0, 4, (50, 8)).astype(float)
+        assert (code.top_k(x, k) == np.argsort(-x, axis=1, kind="stable")[:, :k]).all()
+
+
 def test_vector_functions(spark):
     row = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "x array<double>, y array<double>").select(
         V.dot(F.col("x"), F.col("y")).alias("dot"), V.l2_norm(F.col("x")).alias("norm"), V.rms(F.col("x")).alias("rms"), V.nmse(F.col("y"), F.col("x")).alias("nmse"),
@@ -89,6 +115,31 @@ def test_token_windows_skip(spark):
     assert seq(2)[0] == (0, 0, " c")
 
 
+def test_token_windows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(0, "a b"), (1, "c d e"), (1, "f g h"), (1, "f g h"), (2, "i")], "doc_id long, text string")
+    got = [r.piece.strip() for r in chunk.token_windows(docs, 2).orderBy("seq", "pos").collect()]
+    assert got[:3] == ["a", "b", "<eos>"] and sorted(got) == sorted("a b <eos> c d e <eos> f g h <eos> f g h <eos> i".split())
+    assert [r.piece for r in chunk.token_windows(docs.where("doc_id = 0"), 1, eos=None).orderBy("seq").collect()] == ["a", " b"]
+
+
+def test_store_forgets_what_a_broken_run_left(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append(store_rows(spark, 4), 4)
+    broken = store_rows(spark, 12, 900).withColumn("shard_index", (F.col("pos_id") / 4).cast("int") + 1)
+    broken.write.mode("append").partitionBy("shard_index").parquet(f"{tmp_path}/s/shards")  # shards 1 to 3, never committed
+    store.append(store_rows(spark, 4, 100), 4)
+    assert store.committed() == (8, 2) and [r.last_tok_a for r in store.scan().orderBy("pos_id").collect()] == [0, 1, 2, 3, 100, 101, 102, 103]
+
+
+def test_locate(spark):
+    manifest = spark.createDataFrame([(0, 5), (1, 0), (2, 3), (3, 9)], "shard_index int, num_tokens long")
+    idx = spark.createDataFrame([(i,) for i in range(17)], "idx long")
+    got = {r.idx: (r.shard_index, r.local) for r in locate(idx, manifest).collect()}
+    assert got == {i: (0, i) if i < 5 else (2, i - 5) if i < 8 else (3, i - 8) for i in range(17)}
+    with pytest.raises(Exception, match="index out of range"):
+        locate(idx.union(spark.createDataFrame([(17,)], "idx long")), manifest).collect()
+
+
 def test_dead_counters(spark):
     rows = [(0, 0, 1, 0, 1.0, 1.0), (40, 0, 1, 0, 1.0, 1.0), (40, 1, 2, 0, 0.0, 0.0)]
     got = {(r.stream_idx, r.latent): r.last_non_zero for r in code.dead_counters(spark.createDataFrame(rows, code.CODES), 4, 32, 1e-3, latents=2).collect()}
