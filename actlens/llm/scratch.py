@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of input for each task that writes a table of bounded size.
-PART = 32 << 20
+PART, LEAST_PART = 16 << 20, 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -67,11 +67,11 @@ class Scratch:
     def fit(self, df: DataFrame, of: tuple[str, ...] = (), times: int = 1, like: DataFrame | None = None) -> DataFrame:
         """``df`` in no more tasks than its size is worth, instead of one for each shuffle partition: no crowd of small files.
 
-        Either as many tasks as ``like`` has partitions; or one for each ``PART`` bytes of the saved tables ``of``, ``times``
-        whose bytes bound those of ``df``. Two a core if that is more.
+        Its bytes are at most ``times`` those of the saved tables ``of``, or about those of ``like``. There is a task for each
+        ``PART`` bytes; as many as there are cores, if that is more and leaves each ``LEAST_PART`` bytes.
         """
-        tasks = like.rdd.getNumPartitions() if like is not None else times * sum(map(self.size, of)) // PART + 1
-        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, tasks))
+        bound = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if like is not None else times * sum(map(self.size, of))
+        return df.coalesce(min(max(bound // PART, min(self.spark.sparkContext.defaultParallelism, bound // LEAST_PART)) + 1, 1 << 20))
 
     def save(self, df: DataFrame, name: str, of: tuple[str, ...] | None = None, times: int = 1, like: DataFrame | None = None, compression: str = "snappy") -> DataFrame:
         """Writes and rereads a table, fitted if ``of`` or ``like`` is given; the shuffle files that only this write needed go at once."""

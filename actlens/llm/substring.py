@@ -482,6 +482,7 @@ def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, word
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bitmap = Hasher(), np.frombuffer(shared.value, np.uint8)
         for b in batches:
+            cols: list[list[np.ndarray]] = [[], [], []]
             for at, data, offsets in text_parts(b.column("text")):
                 w = hasher.words(data, offsets)
                 digest = window_digests(hasher, (w.digest >> U64(32)).astype(np.uint32), n)
@@ -491,7 +492,13 @@ def exact_passages(docs: DataFrame, stretches: DataFrame, spans: DataFrame, word
                 found = found[maybe(digest[found], bitmap, bits)]
                 row = w.doc[found]
                 ids = b.column("doc_id").slice(at, w.n_docs).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(digest[found]), pa.array(ids), pa.array((found - w.first[row]).astype(np.int32))], names=["digest", "doc_id", "pos"])
+                for c, x in zip(cols, (digest[found], ids, (found - w.first[row]).astype(np.int32)), strict=True):
+                    c.append(x)
+            if cols[0]:  # of each window of a batch, the first place
+                digest, ids, pos = map(np.concatenate, cols)
+                order = np.lexsort((pos, ids, digest))
+                first = order[np.concatenate(([True], digest[order][1:] != digest[order][:-1]))] if len(order) else order
+                yield pa.RecordBatch.from_arrays([pa.array(digest[first]), pa.array(ids[first]), pa.array(pos[first])], names=["digest", "doc_id", "pos"])
 
     heads = docs.mapInArrow(scan, "digest long, doc_id long, pos int").groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("head"))
     hits = wanted.join(heads, "digest").where("head.doc_id < doc_id").groupBy("doc_id", F.col("head.doc_id").alias("source")).agg(F.collect_list(F.struct("pos", F.col("head.pos").alias("source_pos"))).alias("places"))
