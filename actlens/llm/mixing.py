@@ -77,11 +77,11 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, ca
 def tilt(cells: DataFrame, targets: DataFrame, cap: float, scratch: Scratch, tolerance: float = 1e-10, max_steps: int = 60) -> DataFrame:
     """(key, multiplier) of each source: Newton's method on the dual.
 
-    ``cells`` has (key, prior, size), ``targets`` (key, target). A source without size, or with target 0, has
+    ``cells`` has (key, prior, size) and is the saved table of that name, ``targets`` (key, target). A source without size, or with target 0, has
     a null multiplier: its rate is 0.
     """
     state = targets.select("key", "target", F.lit(0.0).alias("t"), F.lit(1.0).alias("off"))
-    state = scratch.save(state, "tilt-0")
+    state = scratch.save(state, "tilt-0", ("cells",))
     for i in range(1, max_steps + 1):
         rate = F.col("prior") * F.exp("t")
         free = rate < cap
@@ -90,7 +90,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float, scratch: Scratch, tol
         # Beyond the capped part, Newton's step; where all rates are at the cap there is nothing left to gain upwards.
         step = F.when(F.col("slope") > 0, gap / F.col("slope")).when(gap > 0, F.lit(1.0)).otherwise(0.0)
         off = F.when((F.col("slope") <= 0) & (gap <= 0), 0.0).otherwise(F.abs(gap) / F.greatest("target", F.lit(1e-300)))
-        state = scratch.save(sums.select("key", "target", (F.col("t") - F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias("t"), off.alias("off")), f"tilt-{i}")
+        state = scratch.save(sums.select("key", "target", (F.col("t") - F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias("t"), off.alias("off")), f"tilt-{i}", ("cells",))
         scratch.drop(f"tilt-{i - 1}")
         worst = state.where("target > 0").agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
@@ -122,10 +122,10 @@ def edges(rows: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
 
     place = F.col("lot") * (BINS / 4)
     loose = rows.where("lot IS NOT NULL")
-    coarse = scratch.save(cut(loose.withColumn("bin", F.floor(place).cast("int")), need), "coarse")
+    coarse = scratch.save(cut(loose.withColumn("bin", F.floor(place).cast("int")), need), "coarse", ("sizes",))
     inner = loose.join(small(coarse.select("key", F.col("bin").alias("outer"))), "key").where(F.floor(place) == F.col("outer"))
     inner = inner.withColumn("bin", F.floor((place - F.col("outer")) * BINS).cast("int"))
-    fine = scratch.save(cut(inner, coarse.select("key", F.col("rest").alias("need"))), "fine")
+    fine = scratch.save(cut(inner, coarse.select("key", F.col("rest").alias("need"))), "fine", ("sizes",))
     # The bin in which the need is reached counts if more than half of it is needed.
     found = coarse.select("key", "bin").join(fine.select("key", F.col("bin").alias("fine"), (F.col("rest") * 2 > F.col("bin_size")).cast("int").alias("one")), "key", "left")
     found = found.select("key", ((F.col("bin") + (F.coalesce("fine", F.lit(0)) + F.coalesce("one", F.lit(0))) / F.lit(float(BINS))) * F.lit(4.0 / BINS)).alias("edge"))
@@ -172,11 +172,11 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5
     columns = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), one.alias("prior"))
     rows = scratch.save(slim.withColumn("key", source_key()), "sizes")
-    cells = scratch.save(rows.where("size > 0").groupBy("key", "prior").agg(F.sum("size").alias("size")), "cells")
-    totals = scratch.save(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), "totals")
-    targets = scratch.save(source_targets(totals.select("source", "source_size"), weights, share, cap).withColumn("key", source_key()), "targets")
-    goals = scratch.save(targets.join(tilt(cells, targets, cap, scratch), "key", "left"), "goals")
-    edge = scratch.save(edges(lots(rated(rows, goals, cap)), goals.select("key", "target"), scratch), "edge")
+    cells = scratch.save(rows.where("size > 0").groupBy("key", "prior").agg(F.sum("size").alias("size")), "cells", ("sizes",))
+    totals = scratch.save(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), "totals", ("sizes",))
+    targets = scratch.save(source_targets(totals.select("source", "source_size"), weights, share, cap).withColumn("key", source_key()), "targets", ("totals",))
+    goals = scratch.save(targets.join(tilt(cells, targets, cap, scratch), "key", "left"), "goals", ("totals",))
+    edge = scratch.save(edges(lots(rated(rows, goals, cap)), goals.select("key", "target"), scratch), "edge", ("totals",))
     if set(columns) <= {"doc_id", "source"}:
         row = F.struct(*(F.col(c) for c in columns)) if columns else F.struct(F.lit(1))
         rows = rows.withColumn("row", row)

@@ -80,7 +80,7 @@ class Scratch:
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+            df.write.mode("overwrite").options(**{"compression": compression, "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(self.path(name))
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
