@@ -1,7 +1,7 @@
 """Training the shared top-k code: distributed gradients, a driver that holds the weights.
 
-A step broadcasts the weights, lets every task sum up its rows' gradients in one pass, adds these few
-matrices up in a tree and applies AdamW. Decoder columns keep unit norm: gradients lose their part
+A step sends the weights in the tasks' closure, lets every task sum up its rows' gradients in one pass, adds these up on
+the executors in blocks of ``BLOCK`` weights, so that the driver gets each weight's gradient once, and applies AdamW. Decoder columns keep unit norm: gradients lose their part
 along them before a step, and columns are normalised after it. Latents that have been silent for long
 are started anew. Counters of silent latents run in every step, validated epochs or not.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from actlens.functions.vectors import rms
 from actlens.operators.code import _matrix, top_k
 
+BLOCK = 1 << 16
+
 
 def slug(name: str) -> str:
     return name.translate(str.maketrans("./-", "___"))
@@ -156,18 +158,33 @@ def summed_gradients(model: Model, batch: DataFrame, cross: float) -> tuple[int,
                 top = fired if top is None else {k: np.maximum(top[k], v) for k, v in fired.items()}
         if n:
             flat = np.concatenate([total[k].reshape(-1) for k in m.params])
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([loss]), pa.array([flat.tolist()]), pa.array([np.concatenate([top[k] for k in names]).tolist()])], names=["n", "loss", "grad", "top"])
+            silent = np.concatenate([top[k] for k in names])
+            parts = [("grad", at, flat[at : at + BLOCK]) for at in range(0, len(flat), BLOCK)] + [("top", 0, silent), ("sums", 0, np.array([n, loss]))]
+            for kind, at, values in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["kind", "at", "v"])
 
-    rows = batch.mapInArrow(run, "n long, loss double, grad array<double>, top array<double>").collect()
-    n, loss = sum(r.n for r in rows), sum(r.loss for r in rows)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for kind, at, v in zip(b.column("kind").to_pylist(), b.column("at").to_pylist(), b.column("v"), strict=True):
+                v = v.values.to_numpy()
+                old = held.get((kind, at))
+                held[kind, at] = v.copy() if old is None else np.maximum(old, v) if kind == "top" else old + v
+        for (kind, at), v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int64()), pa.array([v], pa.list_(pa.float64()))], names=["kind", "at", "v"])
+
+    schema = "kind string, at long, v array<double>"
+    rows = batch.mapInArrow(run, schema).repartition("kind", "at").mapInArrow(merge, schema).collect()  # each weight once
+    got = {(r.kind, r.at): np.array(r.v) for r in rows}
+    n, loss = (int(got["sums", 0][0]), float(got["sums", 0][1])) if got else (0, 0.0)
     grads, fired = {}, {name: np.zeros(model.latents) for name in names}
-    flat, at = np.sum([r.grad for r in rows], axis=0) if rows else None, 0
+    flat, at = np.concatenate([got["grad", x] for k, x in sorted(got) if k == "grad"]) if got else None, 0
     for k, v in model.params.items():
-        grads[k] = flat[at : at + v.size].reshape(v.shape) / n if rows else np.zeros_like(v)
+        grads[k] = flat[at : at + v.size].reshape(v.shape) / n if got else np.zeros_like(v)
         at += v.size
-    for r in rows:
+    if got:
         for i, name in enumerate(names):
-            fired[name] = np.maximum(fired[name], r.top[i * model.latents : (i + 1) * model.latents])
+            fired[name] = np.maximum(fired[name], got["top", 0][i * model.latents : (i + 1) * model.latents])
     return n, loss / max(n, 1), grads, fired
 
 
