@@ -1,123 +1,29 @@
-"""Training the shared top-k code: distributed gradients, a driver that holds the weights.
+"""Training the shared top-k code, and a plain autoencoder: distributed gradients, a driver that holds the weights.
 
 A step sends the weights in the tasks' closure, lets every task sum up its rows' gradients in one pass, adds these up on
-the executors in blocks of ``BLOCK`` weights, so that the driver gets each weight's gradient once, and applies AdamW. Decoder columns keep unit norm: gradients lose their part
-along them before a step, and columns are normalised after it. Latents that have been silent for long
-are started anew. Counters of silent latents run in every step, validated epochs or not.
+the executors in blocks of ``BLOCK`` weights, so that the driver gets each weight's gradient once, and applies AdamW. Decoder
+columns keep unit norm: gradients lose their part along them before a step, and columns are normalised after it; low-rank
+factors have no such norm. Latents that have been silent for long are started anew. Counters of silent latents run in every
+step, validated epochs or not; the auxiliary loss of a step uses those of the step before, as which latents fire in a batch
+is known after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actlens.functions.vectors import rms
-from actlens.operators.code import _matrix, top_k
+from actlens.operators.code import _matrix
+from actlens.operators.model import Model, Plain
 
 BLOCK = 1 << 16
 
 
-def slug(name: str) -> str:
-    return name.translate(str.maketrans("./-", "___"))
-
-
-@dataclass
-class Model:
-    """Encoders latents x dims, decoders dims x latents, biases and input scales of each stream, in order."""
-
-    streams: dict[str, int]
-    latents: int
-    k: int
-    params: dict[str, np.ndarray] = field(default_factory=dict)
-    scale: dict[str, float] = field(default_factory=dict)
-    last_non_zero: dict[str, np.ndarray] = field(default_factory=dict)
-
-    @classmethod
-    def create(cls, streams: dict[str, int], latents: int, k: int, seed: int = 0) -> Model:
-        if len({slug(n) for n in streams}) < len(streams):
-            raise ValueError("two names give one parameter name")
-        rng, m = np.random.default_rng(seed), cls(dict(streams), latents, k)
-        for n, d in streams.items():
-            e = rng.standard_normal((latents, d)) / np.sqrt(d)
-            m.params |= {f"encoder.{n}": e, f"decoder.{n}": e.T.copy(), f"pre_bias.{n}": np.zeros(d), f"latent_bias.{n}": np.zeros(latents)}
-            m.scale[n], m.last_non_zero[n] = 1.0, np.zeros(latents, np.int64)
-        m.normalise()
-        return m
-
-    def normalise(self) -> None:
-        for n in self.streams:
-            d = self.params[f"decoder.{n}"]
-            d /= np.linalg.norm(d, axis=0) + 1e-8
-
-    def encode(self, x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, np.ndarray]]:
-        """(scaled inputs, gate indices, dense gated codes)."""
-        p = self.params
-        scaled = {n: v * self.scale[n] for n, v in x.items()}
-        logits = {n: (v - p[f"pre_bias.{n}"]) @ p[f"encoder.{n}"].T + p[f"latent_bias.{n}"] for n, v in scaled.items()}
-        gate = top_k(sum(logits.values()), self.k)
-        mask = np.zeros((len(gate), self.latents))
-        np.put_along_axis(mask, gate, 1.0, axis=1)
-        return scaled, gate, {n: np.maximum(v, 0.0) * mask for n, v in logits.items()}
-
-    def decode(self, z: np.ndarray, name: str) -> np.ndarray:
-        return z @ self.params[f"decoder.{name}"].T + self.params[f"pre_bias.{name}"]
-
-    def loss_and_gradients(self, x: dict[str, np.ndarray], cross: float = 1.0) -> tuple[float, dict[str, np.ndarray], dict[str, np.ndarray]]:
-        """Summed over rows: loss, gradients; and which latents fired.
-
-        The loss is the mean of self NMSEs in scaled space and ``cross`` times the mean of cross NMSEs, which are
-        of unscaled values and so, a row's scale cancelling out, the same ratio.
-        """
-        names = list(self.streams)
-        scaled, _, z = self.encode(x)
-        grads = {k: np.zeros_like(v) for k, v in self.params.items()}
-        dz = {n: np.zeros_like(z[n]) for n in names}
-        pairs = [(s, t) for s in names for t in names]
-        loss, n_cross = 0.0, max(1, len(names) * (len(names) - 1))
-        for s, t in pairs:
-            share = 1 / len(names) if s == t else cross / n_cross
-            recon, target = self.decode(z[s], t), scaled[t]
-            base = np.maximum((target**2).mean(axis=1), 1e-8)[:, None]
-            err = recon - target
-            loss += share * float(((err**2).mean(axis=1) / base[:, 0]).sum())
-            g = share * 2 * err / base / target.shape[1]
-            grads[f"decoder.{t}"] += g.T @ z[s]
-            grads[f"pre_bias.{t}"] += g.sum(axis=0)
-            dz[s] += g @ self.params[f"decoder.{t}"]
-        for n in names:
-            d = dz[n] * (z[n] > 0)
-            grads[f"encoder.{n}"] += d.T @ (scaled[n] - self.params[f"pre_bias.{n}"])
-            grads[f"latent_bias.{n}"] += d.sum(axis=0)
-            grads[f"pre_bias.{n}"] -= (d @ self.params[f"encoder.{n}"]).sum(axis=0)
-        return loss, grads, {n: z[n].max(axis=0) if len(z[n]) else np.zeros(self.latents) for n in names}
-
-    def to_rows(self) -> list[tuple]:
-        out = [(k, list(v.shape), v.reshape(-1).tolist()) for k, v in self.params.items()]
-        out += [(f"input_scale.{n}", [1], [float(v)]) for n, v in self.scale.items()]
-        return out + [(f"last_non_zero.{n}", [len(v)], [float(y) for y in v]) for n, v in self.last_non_zero.items()]
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.to_rows(), "name string, shape array<int>, value array<double>").coalesce(1).write.mode("overwrite").parquet(path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, k: int) -> Model:
-        """Streams and sizes come from the shapes; encoders of differing latents are an error."""
-        rows = {r.name: np.array(r.value).reshape(r.shape) for r in spark.read.parquet(path).collect()}
-        encoders = {n.removeprefix("encoder."): v for n, v in rows.items() if n.startswith("encoder.")}
-        if len({v.shape[0] for v in encoders.values()}) != 1:
-            raise ValueError("the streams differ in their number of latents")
-        m = cls({n: v.shape[1] for n, v in encoders.items()}, next(iter(encoders.values())).shape[0], k)
-        m.params = {n: v for n, v in rows.items() if n.split(".")[0] in ("encoder", "decoder", "pre_bias", "latent_bias")}
-        m.scale = {n: float(rows[f"input_scale.{n}"][0]) for n in encoders}
-        m.last_non_zero = {n: rows[f"last_non_zero.{n}"].astype(np.int64) for n in encoders}
-        return m
-
-
 def calibrate(model: Model, vectors: DataFrame) -> None:
     """Input scales: one over the lower median of the rows' root mean squares; without rows 1."""
     each = vectors.select(*[rms(F.col(f"x{i}")).alias(f"r{i}") for i in range(len(model.streams))])
@@ -143,25 +49,23 @@ class AdamW:
             params[k] -= self.rate * (self.m[k] / (1 - a**self.t)) / (np.sqrt(self.v[k] / (1 - b**self.t)) + self.eps)
 
 
-def summed_gradients(model: Model, batch: DataFrame, cross: float) -> tuple[int, float, dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Rows, loss, gradients and each latent's largest code over a batch (x0, x1, ...): one row for each task reaches the driver."""
-    state = vars(model)
-    names = list(model.streams)
+def add_up(batch: DataFrame, measure: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(sums, gradients, tops) of a batch: ``measure`` gives them for some rows; the first two are summed, the last is a maximum.
+
+    Tasks add up their own rows; executors add up the tasks, each some blocks. None if the batch has no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n, loss, total, top = Model(**state), 0, 0.0, None, None
+        total = None
         for b in batches:
             if b.num_rows:
-                part, grads, fired = m.loss_and_gradients({name: _matrix(b.column(f"x{i}")) for i, name in enumerate(names)}, cross)
-                n, loss = n + b.num_rows, loss + part
-                total = grads if total is None else {k: total[k] + v for k, v in grads.items()}
-                top = fired if top is None else {k: np.maximum(top[k], v) for k, v in fired.items()}
-        if n:
-            flat = np.concatenate([total[k].reshape(-1) for k in m.params])
-            silent = np.concatenate([top[k] for k in names])
-            parts = [("grad", at, flat[at : at + BLOCK]) for at in range(0, len(flat), BLOCK)] + [("top", 0, silent), ("sums", 0, np.array([n, loss]))]
+                part = measure(b)
+                total = part if total is None else (total[0] + part[0], total[1] + part[1], np.maximum(total[2], part[2]))
+        if total is not None:
+            sums, flat, top = total
+            parts = [("grad", at, flat[at : at + BLOCK]) for at in range(0, len(flat), BLOCK)] + [("top", 0, top), ("sums", 0, sums)]
             for kind, at, values in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["kind", "at", "v"])
+                yield _row(kind, at, values)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
@@ -171,53 +75,107 @@ def summed_gradients(model: Model, batch: DataFrame, cross: float) -> tuple[int,
                 old = held.get((kind, at))
                 held[kind, at] = v.copy() if old is None else np.maximum(old, v) if kind == "top" else old + v
         for (kind, at), v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int64()), pa.array([v], pa.list_(pa.float64()))], names=["kind", "at", "v"])
+            yield _row(kind, at, v)
 
     schema = "kind string, at long, v array<double>"
     rows = batch.mapInArrow(run, schema).repartition("kind", "at").mapInArrow(merge, schema).collect()  # each weight once
+    if not rows:
+        return None
     got = {(r.kind, r.at): np.array(r.v) for r in rows}
-    n, loss = (int(got["sums", 0][0]), float(got["sums", 0][1])) if got else (0, 0.0)
-    grads, fired = {}, {name: np.zeros(model.latents) for name in names}
-    flat, at = np.concatenate([got["grad", x] for k, x in sorted(got) if k == "grad"]) if got else None, 0
-    for k, v in model.params.items():
-        grads[k] = flat[at : at + v.size].reshape(v.shape) / n if got else np.zeros_like(v)
+    return got["sums", 0], np.concatenate([got[x] for x in sorted(got) if x[0] == "grad"]), got["top", 0]
+
+
+def _row(kind: str, at: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["kind", "at", "v"])
+
+
+def _unpack(flat: np.ndarray, params: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, v in params.items():
+        out[k] = flat[at : at + v.size].reshape(v.shape)
         at += v.size
-    if got:
-        for i, name in enumerate(names):
-            fired[name] = np.maximum(fired[name], got["top", 0][i * model.latents : (i + 1) * model.latents])
-    return n, loss / max(n, 1), grads, fired
+    return out
+
+
+def summed_gradients(model: Model, batch: DataFrame, cross: float, aux: float = 1 / 32) -> tuple[int, float, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Rows, mean loss and gradients, and each latent's largest code over a batch (x0, x1, ...)."""
+    state, names = vars(model), list(model.streams)
+
+    def measure(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = Model(**state)
+        loss, grads, fired = m.loss_and_gradients({name: _matrix(b.column(f"x{i}")) for i, name in enumerate(names)}, cross, aux)
+        return np.array([b.num_rows, loss]), np.concatenate([grads[k].reshape(-1) for k in m.params]), np.concatenate([fired[k] for k in names])
+
+    got = add_up(batch, measure)
+    if got is None:
+        return 0, 0.0, {k: np.zeros_like(v) for k, v in model.params.items()}, {n: np.zeros(model.latents) for n in names}
+    (n, loss), flat, top = got
+    return int(n), loss / n, _unpack(flat / n, model.params), {name: top[i * model.latents : (i + 1) * model.latents] for i, name in enumerate(names)}
 
 
 def reinit_dead(model: Model, threshold: int, rng: np.random.Generator) -> int:
-    """Latents silent for more than ``threshold`` batches get a small random encoder row, no bias and a new count."""
-    gone = 0
+    """Latents silent for more than ``threshold`` batches get a small random encoder row, no bias and a new count.
+
+    Where the streams share factors, a latent dead in any of them gets one new row of the shared encoder.
+    """
+    gone, every = 0, set()
     for n in model.streams:
         dead = np.flatnonzero(model.last_non_zero[n] > threshold)
-        model.params[f"encoder.{n}"][dead] = rng.standard_normal((len(dead), model.streams[n])) * 0.01
+        every.update(dead.tolist())
+        if not model.rank:
+            model.params[f"encoder.{n}"][dead] = rng.standard_normal((len(dead), model.streams[n])) * 0.01
         model.params[f"latent_bias.{n}"][dead] = 0.0
         model.last_non_zero[n][dead] = 0
         gone += len(dead)
+    if model.rank:
+        model.params["encoder_shared"][sorted(every)] = rng.standard_normal((len(every), model.rank)) * 0.01
     return gone
 
 
-def train(model: Model, batches: list[DataFrame], epochs: int = 1, rate: float = 3e-4, cross: float = 1.0, threshold: float = 1e-3, dead_after: int = 1000, reinit_every: int = 100, seed: int = 0) -> list[float]:
-    """One step for each batch and epoch; returns the mean loss of each epoch."""
+def train(model: Model, batches: list[DataFrame], epochs: int = 1, rate: float = 3e-4, cross: float = 1.0, threshold: float = 1e-3, dead_after: int | None = None, reinit_every: int = 100, seed: int = 0, aux: float = 1 / 32) -> list[float]:
+    """One step for each batch and epoch; returns the mean loss of each epoch. ``reinit_every`` 0 never starts latents anew."""
     adam, rng, step, out = AdamW(rate), np.random.default_rng(seed), 0, []
     for _ in range(epochs):
         losses = []
         for batch in batches:
-            n, loss, grads, fired = summed_gradients(model, batch, cross)
+            n, loss, grads, fired = summed_gradients(model, batch, cross, aux)
             if not n:
                 continue
             for name in model.streams:
-                w, g = model.params[f"decoder.{name}"], grads[f"decoder.{name}"]
-                grads[f"decoder.{name}"] = g - w * (w * g).sum(axis=0)
+                if not model.rank:
+                    w, g = model.params[f"decoder.{name}"], grads[f"decoder.{name}"]
+                    grads[f"decoder.{name}"] = g - w * (w * g).sum(axis=0)
                 model.last_non_zero[name] = np.where(fired[name] > threshold, 0, model.last_non_zero[name]) + 1
             adam.step(model.params, grads)
             model.normalise()
             step += 1
-            if step % reinit_every == 0:
-                reinit_dead(model, dead_after, rng)
+            if reinit_every and step % reinit_every == 0:
+                reinit_dead(model, model.dead_after if dead_after is None else dead_after, rng)
             losses.append(loss)
         out.append(sum(losses) / max(len(losses), 1))
     return out
+
+
+def train_plain(model: Plain, batches: list[DataFrame], steps: int = 1000, rate: float = 3e-4, column: str = "x0") -> list[tuple[float, float, float]]:
+    """A fixed number of steps over batches that start again at their end; (loss, squared error, mean code) of each step."""
+    adam, state, out, empty = AdamW(rate), vars(model), [], 0
+
+    def measure(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = Plain(**state)
+        sums, grads = m.loss_and_gradients(_matrix(b.column(column)))
+        return np.array([b.num_rows, *sums]), np.concatenate([grads[k].reshape(-1) for k in m.params]), np.zeros(1)
+
+    at = 0
+    while len(out) < steps:
+        if empty >= len(batches):
+            raise ValueError("no batch has rows")
+        got = add_up(batches[at % len(batches)], measure)
+        at += 1
+        if got is None:
+            empty += 1
+            continue
+        (n, error, codes), flat, _ = got
+        adam.step(model.params, _unpack(flat / n, model.params))
+        out.append((error / n + model.l1 * codes / n, error / n, codes / n))
+        empty = 0
+    return out

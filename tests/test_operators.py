@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
 from actlens.operators import chunk, code, metrics
-from actlens.operators.train import AdamW, Model, calibrate, reinit_dead, train
+from actlens.operators.model import Model, Plain
+from actlens.operators.train import AdamW, calibrate, reinit_dead, train, train_plain
 from actlens.sources.store import Store, StoreConfig, locate, split_shard_ids
 from actlens.streaming.loader import CountBatches, aligned_stream, document_stream, split_validation
 
@@ -211,11 +212,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert valid.count() == 16 and rest.count() == batches.count() - 16
 
 
-def test_gradients():
+@pytest.mark.parametrize("how", [{}, {"rank": 3}, {"auxk": 2, "dead_after": 5}, {"rank": 3, "auxk": 2, "dead_after": 5}])
+def test_gradients(how):
     rng = np.random.default_rng(0)
-    m = Model.create({"a": 5, "b": 4}, 7, 3, seed=1)
+    m = Model.create({"a": 5, "b": 4}, 7, 3, seed=1, **how)
+    for n in m.streams:
+        m.last_non_zero[n][[1, 4, 6]] = 9
+        m.params[f"pre_bias.{n}"] += 0.1
     x = {"a": rng.standard_normal((6, 5)), "b": rng.standard_normal((6, 4))}
+    given, whole = {}, m.auxiliary
+    if m.auxk:  # its target is taken as given: it stays that of the unchanged weights
+        scaled, _, z = m.encode(x)
+        given = {n: whole(scaled[n], m.decode(z[n], n), n)[1] for n in m.streams}
+        m.auxiliary = lambda scaled, recon, name: (whole(scaled, recon, name)[0], given[name])
     loss, grads, _ = m.loss_and_gradients(x)
+    assert set(grads) == set(m.params)
     for key, g in grads.items():
         flat = m.params[key].reshape(-1)
         for i in rng.choice(flat.size, 4):
@@ -228,6 +239,48 @@ def test_gradients():
             assert (up - down) / 2e-6 == pytest.approx(g.reshape(-1)[i], rel=1e-3, abs=1e-5), key
 
 
+def test_plain_gradients():
+    rng = np.random.default_rng(0)
+    m, x = Plain.create(4, 6, l1=0.5), rng.standard_normal((5, 4))
+    total = lambda: (lambda s: s[0] + m.l1 * s[1])(m.loss_and_gradients(x)[0])
+    for key, g in m.loss_and_gradients(x)[1].items():
+        flat = m.params[key].reshape(-1)
+        for i in rng.choice(flat.size, 4):
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = total()
+            flat[i] = old - 1e-6
+            down = total()
+            flat[i] = old
+            assert (up - down) / 2e-6 == pytest.approx(g.reshape(-1)[i], rel=1e-3, abs=1e-5), key
+
+
+def vectors_of(spark, n=40):
+    rng = np.random.default_rng(2)
+    return spark.createDataFrame([(i, rng.standard_normal(6).tolist(), rng.standard_normal(4).tolist()) for i in range(n)], "pos_id long, x0 array<double>, x1 array<double>")
+
+
+def test_low_rank_training(spark, tmp_path):
+    df = vectors_of(spark)
+    m = Model.create({"a": 6, "b": 4}, 12, 4, rank=3, auxk=4, dead_after=2)
+    losses = train(m, [df.where("pos_id < 20"), df.where("pos_id >= 20")], epochs=4, rate=0.02, reinit_every=3)
+    assert losses[-1] < losses[0]
+    m.save(spark, f"file://{tmp_path}/m")
+    again = Model.load(spark, f"file://{tmp_path}/m", 4, auxk=4, dead_after=2)
+    assert (again.rank, again.latents, again.streams) == (3, 12, m.streams) and all(np.array_equal(v, again.params[k]) for k, v in m.params.items())
+    assert list(Model.load(spark, f"file://{tmp_path}/m", 4, ["b"]).streams) == ["b"]
+    with pytest.raises(ValueError, match="no encoders"):
+        Model.load(spark, f"file://{tmp_path}/m", 4, ["c"])
+
+
+def test_plain_training(spark):
+    df = vectors_of(spark)
+    steps = train_plain(Plain.create(6, 8, l1=1e-3), [df.where("pos_id < 20"), df.where("pos_id < 0"), df.where("pos_id >= 20")], steps=9, rate=0.05)
+    assert len(steps) == 9 and steps[-1][0] < steps[0][0]
+    with pytest.raises(ValueError, match="no batch"):
+        train_plain(Plain.create(6, 8), [df.where("pos_id < 0")], steps=1)
+
+
 def test_training_lowers_the_loss(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(6).tolist(), rng.standard_normal(4).tolist()) for i in range(40)]
