@@ -7,7 +7,7 @@ positions x latents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +24,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def matrices(b: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    return [_matrix(b.column(f"x{i}")) for i in range(n)]
+
+
 def top_k(x: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest values of each row, largest first; of equal ones the lower column."""
     if k >= x.shape[1]:
@@ -67,9 +71,17 @@ def sum_columns(streams: int = len(STREAMS)) -> list[str]:
     return ["n_gate", "n_all", *(f"n_alive{i}" for i in range(streams)), *(f"{x}{i}{j}" for i, j in pairs for x in ("both", "either")), *(f"{x}{i}" for i in range(streams) for x in ("sum", "square")), *(f"product{i}{j}" for i, j in pairs)]
 
 
-def latent_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> DataFrame:
-    """For each task and latent gated in it: positions, active streams, sums of codes, squares and products."""
-    w = weights or [weight(i, latents) for i in range(len(STREAMS))]
+def logits_by(latents: int = LATENTS, weights: list[np.ndarray] | None = None) -> list[Callable[[np.ndarray], np.ndarray]]:
+    """What gives a stream's logits, for each stream: products with ``weights``, or the closed-form ones."""
+    return [lambda x, w=w: x @ w.T for w in weights or [weight(i, latents) for i in range(len(STREAMS))]]
+
+
+def latent_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, encoders: list[Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """For each task and latent gated in it: positions, active streams, sums of codes, squares and products.
+
+    ``encoders`` (:func:`logits_by`, or a model's) give each stream's logits.
+    """
+    w = encoders or logits_by(latents)
     names = sum_columns(len(w))
     real = [n.startswith(("sum", "square", "product")) for n in names]
 
@@ -78,7 +90,7 @@ def latent_sums(vectors: DataFrame, k: int = TOP_K, latents: int = LATENTS, weig
         for b in batches:
             if not b.num_rows:
                 continue
-            logits = np.stack([_matrix(b.column(f"x{i}")) @ w[i].T for i in range(len(w))])
+            logits = np.stack([e(x) for e, x in zip(w, matrices(b, len(w)), strict=True)])
             gate = top_k(logits.sum(axis=0), k)
             z = np.maximum(np.take_along_axis(logits, np.broadcast_to(gate, (len(w), *gate.shape)), axis=2), 0.0).reshape(len(w), -1)
             on, at = z > 0, gate.reshape(-1)

@@ -19,6 +19,12 @@ N = len(STREAMS)
 PAIRS = list(combinations(range(N), 2))
 
 
+def streams_of(rows: DataFrame) -> tuple[int, list[tuple[int, int]]]:
+    """How many streams counts or rates are of, and their pairs."""
+    n = sum(c.startswith("n_alive") for c in rows.columns)
+    return n, list(combinations(range(n), 2))
+
+
 def wide(codes: DataFrame) -> DataFrame:
     """(pos_id, latent, z0, z1, ...): the streams' codes of a gated latent in one row."""
     each = [F.max(F.when(F.col("stream_idx") == i, F.col("z"))).alias(f"z{i}") for i in range(N)]
@@ -60,34 +66,35 @@ def rates(counts: DataFrame, n_positions: Column | int) -> DataFrame:
     """gate_rate, firing<i>, agreement and mean<i> for each latent."""
     n = n_positions if isinstance(n_positions, Column) else F.lit(n_positions)
     out = counts.withColumn("gate_rate", F.col("n_gate") / n).withColumn("agreement", F.col("n_all") / F.greatest("n_gate", F.lit(1)))
-    for i in range(N):
+    for i in range(streams_of(counts)[0]):
         out = out.withColumn(f"firing{i}", F.col(f"n_alive{i}") / n).withColumn(f"mean{i}", F.col(f"sum{i}") / F.greatest(f"n_alive{i}", F.lit(1)))
     return out
 
 
 def jaccard(counts: DataFrame) -> DataFrame:
     """(i, j, jaccard) over all positions and latents at once."""
-    sums = counts.agg(*[F.sum(f"{kind}{i}{j}").alias(f"{kind}{i}{j}") for i, j in PAIRS for kind in ("both", "either")])
-    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"both{i}{j}") / F.greatest(f"either{i}{j}", F.lit(1))).alias("jaccard")) for i, j in PAIRS])
+    pairs = streams_of(counts)[1]
+    sums = counts.agg(*[F.sum(f"{kind}{i}{j}").alias(f"{kind}{i}{j}") for i, j in pairs for kind in ("both", "either")])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"both{i}{j}") / F.greatest(f"either{i}{j}", F.lit(1))).alias("jaccard")) for i, j in pairs])
     return sums.select(F.inline(each))
 
 
 def correlations(counts: DataFrame) -> DataFrame:
     """(i, j, latent, corr): correlation of code values where the latent is gated; 0 without variance."""
-    n = F.greatest("n_gate", F.lit(1))
+    n, pairs = F.greatest("n_gate", F.lit(1)), streams_of(counts)[1]
 
     def corr(i: int, j: int) -> Column:
         mi, mj = F.col(f"sum{i}") / n, F.col(f"sum{j}") / n
         vi, vj = (F.greatest(F.col(f"square{x}") / n - m * m, F.lit(0.0)) for x, m in ((i, mi), (j, mj)))
         return (F.col(f"product{i}{j}") / n - mi * mj) / F.greatest(F.sqrt(vi * vj), F.lit(1e-12))
 
-    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), corr(i, j).alias("corr")) for i, j in PAIRS])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), corr(i, j).alias("corr")) for i, j in pairs])
     return counts.select("latent", F.inline(each))
 
 
 def regimes(rated: DataFrame, alive_above: float = 1e-4, universal_above: float = 0.9) -> DataFrame:
     """Flags universal, specific, dead and ambiguous of each latent; they may overlap."""
-    n = sum(((F.col(f"firing{i}") > alive_above).cast("int") for i in range(1, N)), (F.col("firing0") > alive_above).cast("int"))
+    n = sum(((F.col(f"firing{i}") > alive_above).cast("int") for i in range(1, streams_of(rated)[0])), (F.col("firing0") > alive_above).cast("int"))
     out = rated.withColumn("n_streams", n)
     out = out.withColumn("universal", (F.col("agreement") > universal_above) & (F.col("gate_rate") > alive_above))
     out = out.withColumn("specific", F.col("n_streams") == 1).withColumn("dead", F.col("n_streams") == 0)
@@ -96,7 +103,7 @@ def regimes(rated: DataFrame, alive_above: float = 1e-4, universal_above: float
 
 def alive(rated: DataFrame, alive_above: float = 1e-4) -> DataFrame:
     """Latents that fire above the threshold in one stream at least; being gated isn't enough."""
-    return rated.where(F.greatest(*[F.col(f"firing{i}") for i in range(N)]) > alive_above)
+    return rated.where(F.greatest(*[F.col(f"firing{i}") for i in range(streams_of(rated)[0])]) > alive_above)
 
 
 def firing_histogram(values: DataFrame, column: str, bins: int = 59) -> DataFrame:

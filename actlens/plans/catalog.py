@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from actlens.plans import features, texts
+from actlens.plans import features, models, texts
 
 
 def queries() -> dict:
-    return {**features.QUERIES, **texts.QUERIES}
+    return {**features.QUERIES, **models.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**features.SQL, **texts.SQL}
+    return {**features.SQL, **models.SQL, **texts.SQL}

@@ -41,6 +41,19 @@ class StoreConfig:
         return cls(**{k: v for k, v in raw.items() if k in cls.__dataclass_fields__})
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole or not at all: beside its place first, then by a rename. One that is there is replaced."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(place(f"{path}.tmp"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(place(path)):
+        fs.delete(place(path), False)
+    if not fs.rename(place(f"{path}.tmp"), place(path)):
+        raise OSError(f"can't write {path}")
+
+
 class Store:
     """A store below ``root``, any URI that Spark can write."""
 
@@ -62,11 +75,7 @@ class Store:
             if (old := self.config()) != config:
                 raise ValueError(f"the store has another configuration: {old}")
             return old
-        fs, where = self._path("store_config.json.tmp")
-        out = fs.create(where, True)
-        out.write(bytearray(json.dumps(asdict(config), indent=2).encode()))
-        out.close()
-        fs.rename(where, self._path("store_config.json")[1])
+        write_text(self.spark, f"{self.root}/store_config.json", json.dumps(asdict(config), indent=2))
         return config
 
     def config(self) -> StoreConfig:

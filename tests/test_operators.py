@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
 from actlens.operators import chunk, code, metrics
+from actlens.operators import report
 from actlens.operators.model import Model, Plain
 from actlens.operators.train import AdamW, calibrate, reinit_dead, train, train_plain
 from actlens.sources.store import Store, StoreConfig, locate, split_shard_ids
@@ -44,7 +45,7 @@ def test_sums_of_vectors_equal_those_of_codes(spark):
     w = [rng.integers(-5, 6, (12, d)).astype(float) for d in dims]
     rows = [(i, *(rng.integers(-9, 10, d).astype(float).tolist() for d in dims)) for i in range(60)]
     df = spark.createDataFrame(rows, "pos_id long, x0 array<double>, x1 array<double>, x2 array<double>").repartition(3)
-    a = metrics.vector_counts(df, latents=12, k=3, weights=w)
+    a = metrics.vector_counts(df, latents=12, k=3, encoders=code.logits_by(weights=w))
     assert "hashpartitioning(pos_id" not in a._jdf.queryExecution().toString()
     b = metrics.latent_counts(code.shared_codes(df, k=3, latents=12, weights=w), latents=12)
     assert sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(a.columns)).collect()))
@@ -306,3 +307,31 @@ def test_reinit_and_names():
     p = {"w": np.ones(2)}
     AdamW(0.1, decay=0.0).step(p, {"w": np.array([1.0, -1.0])})
     assert p["w"] == pytest.approx([0.9, 1.1])
+
+
+def test_reports_of_a_checkpoint(spark, tmp_path):
+    df, m = vectors_of(spark), Model.create({"a": 6, "b": 4}, 12, 4, rank=3)
+    calibrate(m, df)
+    for n in m.streams:
+        m.params[f"latent_bias.{n}"] += 0.2
+    m.save(spark, f"file://{tmp_path}/m")
+    got = report.report_checkpoint(spark, f"file://{tmp_path}/m", df, 4, f"file://{tmp_path}/r.json", ["b", "a"][::-1], max_positions=30)
+    assert report.read_report(spark, f"file://{tmp_path}/r.json") == got
+    rows = df.where("pos_id < 30").orderBy("pos_id").collect()
+    x = {"a": np.array([r.x0 for r in rows]), "b": np.array([r.x1 for r in rows])}
+    _, gate, z = m.encode(x)
+    assert got["n_positions"] == 30 and got["gate_rate"] == pytest.approx(np.bincount(gate.reshape(-1), minlength=12) / 30)
+    assert got["firing_rate_per_stream"][1] == pytest.approx((z["b"] > 0).mean(axis=0))
+    both, either = ((z["a"] > 0) & (z["b"] > 0)).sum(), ((z["a"] > 0) | (z["b"] > 0)).sum()
+    assert got["jaccard_per_pair"]["a|b"] == pytest.approx(both / either) and got["L0_mean"][0] == pytest.approx((z["a"] > 0).sum() / 30)
+    shown = report.evaluate_checkpoint(spark, f"file://{tmp_path}/m", df, 4, f"file://{tmp_path}/e.json")
+    whole = {"a": np.array([r.x0 for r in df.orderBy("pos_id").collect()]), "b": np.array([r.x1 for r in df.orderBy("pos_id").collect()])}
+    z = m.encode(whole)[2]
+    miss = ((m.decode(z["a"], "b") / m.scale["b"] - whole["b"]) ** 2).sum() / ((whole["b"] - whole["b"].mean(axis=0)) ** 2).sum()
+    assert shown["cross_recon_b_from_a"]["fvu"] == pytest.approx(miss) and shown["recon_a"]["fve"] == pytest.approx(1 - shown["recon_a"]["fvu"])
+    assert [v.split()[0] for v in report.lines(shown)] == ["SELF", "SELF", "CROSS", "CROSS"]
+
+
+def test_report_without_positions(spark):
+    got = report.universality(vectors_of(spark).where("pos_id < 0"), Model.create({"a": 6, "b": 4}, 12, 4))
+    assert got["n_positions"] == 0 and got["regime_counts"]["dead"] == 12 and got["top_universal_idx"] == [] and set(got["agreement_rate_percentiles"].values()) == {0.0}
