@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,8 +30,10 @@ def pieces(text: Column, stream: int) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES[stream]), F.lit(0))
 
 
-def is_content(piece: Column) -> Column:
-    return F.regexp_replace(piece, f"{SPACE}+", "") != ""
+def is_content(piece: Column, special: tuple[str, ...] = ()) -> Column:
+    """Whether a token has text: white space and the tokenizer's ``special`` tokens have none."""
+    solid = F.regexp_replace(piece, f"{SPACE}+", "") != ""
+    return solid & ~piece.isin(*special) if special else solid
 
 
 def solid_length(piece: Column) -> Column:
@@ -43,6 +46,11 @@ def file_slug(name: Column) -> Column:
     return F.regexp_replace(F.replace(F.trim(name), F.lit("/"), F.lit("_")), "[^a-zA-Z0-9._-]+", "-")
 
 
+def file_slug_of(name: str) -> str:
+    """:func:`file_slug` of one name."""
+    return re.sub("[^a-zA-Z0-9._-]+", "-", name.strip().replace("/", "_"))
+
+
 def parameter_slug(name: Column) -> Column:
     """For parameter names: dots, slashes and hyphens become underscores."""
     return F.translate(name, "./-", "___")

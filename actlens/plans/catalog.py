@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from actlens.plans import features, models, texts
+from actlens.plans import features, models, runs, texts
 
 
 def queries() -> dict:
-    return {**features.QUERIES, **models.QUERIES, **texts.QUERIES}
+    return {**features.QUERIES, **models.QUERIES, **runs.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**features.SQL, **models.SQL, **texts.SQL}
+    return {**features.SQL, **models.SQL, **runs.SQL, **texts.SQL}

@@ -11,8 +11,10 @@ import json
 import random
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,14 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def place(self, path: str):
+        """(file system, path) of any path."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _path(self, name: str):
+        return self.place(f"{self.root}/{name}")
+
     def _exists(self, name: str) -> bool:
         fs, where = self._path(name)
         return fs.exists(where)
@@ -129,6 +134,59 @@ class Store:
         return self.scan().where((F.col("pos_id") >= start) & (F.col("pos_id") < end))
 
 
+    def stream_dims(self) -> dict[str, int]:
+        """Each model's vector length, as configured."""
+        return {m["name"]: int(m["hidden_size"]) for m in self.config().models}
+
+    def __len__(self) -> int:
+        return self.committed()[0]
+
+    def vectors(self, models: list[str], shards: list[int] | None = None) -> DataFrame:
+        """(pos_id, x0, x1, ...): the models' vectors as doubles, as operators on codes take them."""
+        slugs = {m["name"]: m["slug"] for m in self.config().models}
+        columns = [F.col(f"model_{slugs[m]}").cast("array<double>").alias(f"x{i}") for i, m in enumerate(models)]
+        return self.scan(models, shards).select("pos_id", *columns)
+
+    def batches(self, models: list[str], batch: int, seed: int = 0, drop_last: bool = True, shards: list[int] | None = None) -> DataFrame:
+        """Rows with ``batch_idx`` within their shard, and ``order_shard`` and ``order_batch``, by which batches come.
+
+        The batch of a row follows from its place in the shard; only the manifest, a row for each shard, is joined.
+        """
+        starts = self.manifest().select("shard_index", "token_start", "num_tokens")
+        rows = self.scan(models, shards).join(F.broadcast(starts), "shard_index")
+        rows = rows.withColumn("batch_idx", F.floor((F.col("pos_id") - F.col("token_start")) / batch))
+        if drop_last:
+            rows = rows.where((F.col("batch_idx") + 1) * batch <= F.col("num_tokens"))
+        return rows.drop("token_start", "num_tokens").withColumn("order_shard", scramble(F.col("shard_index"), seed)).withColumn("order_batch", scramble(F.col("batch_idx") + F.col("shard_index") * 7919, seed))
+
+    def collated(self, models: list[str], batch: int, seed: int = 0, drop_last: bool = True, shards: list[int] | None = None) -> DataFrame:
+        """A row for each batch: ``pos_ids``, and each model's tokens and vectors as arrays, in order of position."""
+        rows = self.batches(models, batch, seed, drop_last, shards)
+        data = [c for c in rows.columns if c.startswith(("last_tok_", "model_"))]
+        sets = rows.groupBy("order_shard", "order_batch", "shard_index", "batch_idx").agg(F.sort_array(F.collect_list(F.struct("pos_id", *data))).alias("b"))  # ``batch`` rows each
+        return sets.select("order_shard", "order_batch", "shard_index", "batch_idx", F.col("b.pos_id").alias("pos_ids"), *[F.col(f"b.{c}").alias(c) for c in data])
+
+    def load(self, models: list[str], batch: int, seed: int = 0, drop_last: bool = True, shuffle: bool = True, shards: list[int] | None = None) -> Iterator[dict]:
+        """Batches as arrays, ``{"tokens": {model: n}, "activations": {model: n x dims}}``, one partition of them at a time.
+
+        In scrambled order of shards and of batches within a shard, the same for each epoch; without ``shuffle`` as stored.
+        """
+        slugs = {m["name"]: m["slug"] for m in self.config().models}
+        order = ("order_shard", "shard_index", "order_batch", "batch_idx") if shuffle else ("shard_index", "batch_idx")
+        for r in self.collated(models, batch, seed, drop_last, shards).orderBy(*order).toLocalIterator(prefetchPartitions=True):
+            yield {"tokens": {m: np.array(r[f"last_tok_{slugs[m]}"]) for m in models}, "activations": {m: np.array(r[f"model_{slugs[m]}"], np.float32) for m in models}}
+
+    def training_batches(self, models: list[str], batch: int, seed: int = 0, shards: list[int] | None = None) -> list[DataFrame]:
+        """A table (pos_id, x0, x1, ...) for each whole batch, in scrambled order; each reads only its shard, by its positions."""
+        plan = batch_plan(self.manifest(), batch, seed)
+        if shards is not None:
+            plan = plan.where(F.col("shard_index").isin(shards))
+        first = {r.shard_index: r.token_start for r in self.manifest().collect()}
+        rows = plan.orderBy("order_shard", "shard_index", "order_batch", "batch_idx").collect()  # a row for each step of an epoch
+        each = {s: self.vectors(models, [s]) for s in {r.shard_index for r in rows}}
+        return [each[r.shard_index].where((F.col("pos_id") >= first[r.shard_index] + r.start) & (F.col("pos_id") < first[r.shard_index] + r.start + batch)) for r in rows]
+
+
 def shard_of(pos: Column, shard_size: int) -> Column:
     return F.floor(pos / shard_size).cast("int")
 

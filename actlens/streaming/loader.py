@@ -34,8 +34,19 @@ class CountBatches:
     ``state/epoch=N`` how many rows there are after it. A micro-batch that is run again overwrites its own folders.
     """
 
-    def __init__(self, spark: SparkSession, path: str, batch_rows: int):
-        self.spark, self.path, self.batch_rows = spark, path.rstrip("/"), batch_rows
+    def __init__(self, spark: SparkSession, path: str, batch_rows: int, steps_per_epoch: int | None = None):
+        self.spark, self.path, self.batch_rows, self.steps_per_epoch = spark, path.rstrip("/"), batch_rows, steps_per_epoch
+
+    def __len__(self) -> int:
+        """Batches of an epoch; an unbounded stream has no length."""
+        if self.steps_per_epoch is None:
+            raise TypeError("an unbounded stream has no length; set steps_per_epoch")
+        return self.steps_per_epoch
+
+    def epoch(self, number: int, first_batch: int = 0) -> DataFrame:
+        """Whole batches of an epoch, counted from 0 after ``first_batch``; rows go on from one epoch to the next."""
+        start = first_batch + number * len(self)
+        return self.batches().where((F.col("batch_id") >= start) & (F.col("batch_id") < start + len(self)))
 
     def _state(self) -> DataFrame | None:
         jvm = self.spark._jvm

@@ -1,4 +1,6 @@
 import json
+import os
+import signal
 
 import numpy as np
 import pytest
@@ -6,11 +8,13 @@ from pyspark.sql import functions as F
 
 from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
-from actlens.operators import chunk, code, metrics
-from actlens.operators import report
+from actlens.operators import batches, chunk, code, metrics, report
 from actlens.operators.model import Model, Plain
 from actlens.operators.train import AdamW, calibrate, reinit_dead, train, train_plain
+from actlens.plans import entries
+from actlens.sources.stop import StopOnSignal
 from actlens.sources.store import Store, StoreConfig, locate, split_shard_ids
+from actlens.sources.types import numpy_type, spark_type
 from actlens.streaming.loader import CountBatches, aligned_stream, document_stream, split_validation
 
 
@@ -335,3 +339,85 @@ def test_reports_of_a_checkpoint(spark, tmp_path):
 def test_report_without_positions(spark):
     got = report.universality(vectors_of(spark).where("pos_id < 0"), Model.create({"a": 6, "b": 4}, 12, 4))
     assert got["n_positions"] == 0 and got["regime_counts"]["dead"] == 12 and got["top_universal_idx"] == [] and set(got["agreement_rate_percentiles"].values()) == {0.0}
+
+
+def test_types_and_padding():
+    assert spark_type("bfloat16") == "float" and numpy_type("float16") is np.float16
+    for f in (spark_type, numpy_type):
+        with pytest.raises(ValueError):
+            f("float8")
+    assert batches.pad_arrays([[1, 2], [], [3]], 9).tolist() == [[1, 2], [9, 9], [3, 9]] and batches.pad_arrays([[]], 9).shape == (1, 0)
+    assert [batches.filler(0, 5), batches.filler(None, 5), batches.filler(None)] == [0, 5, 0]
+
+
+def test_padding_of_nulls(spark):
+    rows = spark.createDataFrame([(0, [1, 2]), (0, None), (1, [])], "b int, t array<long>")
+    assert sorted((r.b, r.width, r.t) for r in batches.pad_batches(rows, "b", "t", 7).collect()) == [(0, 2, [1, 2]), (0, 2, [7, 7]), (1, 0, [])]
+
+
+def test_stop_on_signal():
+    before = signal.getsignal(signal.SIGTERM)
+    with StopOnSignal() as stop:
+        os.kill(os.getpid(), signal.SIGTERM)
+        assert stop.stop
+    assert signal.getsignal(signal.SIGTERM) is before
+
+
+def some_docs(spark, n=12):
+    return spark.createDataFrame([(i, f"alpha beta gamma{i}\nword number {i} is here") for i in range(n)], "doc_id long, text string")
+
+
+def test_run_goes_on_after_a_stop(spark, tmp_path):
+    ids, vectors = lambda s, t: np.array([len(x) for x in t]), lambda s, t: np.array([[len(x), i + s] for i, x in enumerate(t)])
+    config = entries.config_of(["a/x", "b"], [2, 2], ["h"], shard_size_tokens=8, token_dtype="int64")
+    docs, root = some_docs(spark), f"file://{tmp_path}/s"
+
+    class Once(StopOnSignal):  # asks to stop after the first step
+        asked = 0
+
+        @property
+        def stop(self):
+            self.asked += 1
+            return self.asked > 1
+
+        @stop.setter
+        def stop(self, _):
+            pass
+
+    how = {"max_tokens": 16, "shards_a_step": 1, "streams": (0, 2)}
+    assert entries.preprocess_aligned(spark, docs, root, config, vectors, ids, 30, stop=Once(), **how) == 8
+    assert entries.preprocess_aligned(spark, docs, root, config, vectors, ids, 30, **how) == 30 == len(Store(spark, root))
+    assert entries.preprocess_aligned(spark, docs, root, config, vectors, ids, 30, **how) == 30
+    whole = f"file://{tmp_path}/w"
+    entries.preprocess_aligned(spark, docs, whole, config, vectors, ids, 30, max_tokens=16, streams=(0, 2))
+    read = lambda at: [tuple(r) for r in Store(spark, at).scan(["a/x", "b"]).drop("shard_index").orderBy("pos_id").collect()]
+    assert read(root) == read(whole) and Store(spark, root).stream_dims() == {"a/x": 2, "b": 2}
+    shared = f"file://{tmp_path}/t"
+    assert entries.preprocess_shared(spark, docs, shared, config, vectors, ids, 50, length=8, shards_a_step=2) == 48
+
+
+def test_loader_and_training_on_a_store(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write_config(StoreConfig(models=[{"name": n, "slug": n, "hidden_size": 3, "hook_point": "h"} for n in "ab"], shard_size_tokens=10))
+    rows = spark.createDataFrame([(i, i, rng.standard_normal(3).tolist(), i + 100, rng.standard_normal(3).tolist()) for i in range(35)], "pos_id long, last_tok_a int, model_a array<float>, last_tok_b int, model_b array<float>")
+    store.append(rows, 10)
+    got = list(store.load(["a", "b"], 4, seed=1))
+    seen = [b["tokens"]["a"].tolist() for b in got]
+    assert len(got) == 2 + 2 + 2 + 1 and all(t == list(range(t[0], t[0] + 4)) for t in seen) and got[0]["activations"]["b"].shape == (4, 3)
+    assert seen == [b["tokens"]["a"].tolist() for b in store.load(["a", "b"], 4, seed=1)] != sorted(seen)
+    plain = [b["tokens"]["b"].tolist() for b in store.load(["b"], 4, shuffle=False, drop_last=False)]
+    assert sum(plain, []) == list(range(100, 135))
+    assert [sorted(r.pos_id for r in b.collect()) for b in store.training_batches(["a"], 4, seed=1)] == seen
+    model, losses, held = entries.train_on_store(spark, store.root, f"file://{tmp_path}/m", 6, 2, batch=5, epochs=2, valid=0.3, rate=0.02)
+    assert losses[1] < losses[0] and set(held) == {"recon_a", "recon_b", "cross_recon_a_from_b", "cross_recon_b_from_a"}
+    assert Model.load(spark, f"file://{tmp_path}/m", 2).streams == {"a": 3, "b": 3}
+
+
+def test_stream_length(spark, tmp_path):
+    with pytest.raises(TypeError):
+        len(CountBatches(spark, f"{tmp_path}/x", 4))
+    sink = CountBatches(spark, f"{tmp_path}/x", 4, steps_per_epoch=2)
+    rows = spark.range(26).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.col("id").cast("int").alias("k"))
+    sink(rows, 0)
+    assert len(sink) == 2 and sorted(r.pos_id for r in sink.epoch(1, first_batch=1).collect()) == list(range(12, 20))
