@@ -159,8 +159,16 @@ def shard_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def range_read(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where((F.col("vec_id") >= 100) & (F.col("vec_id") < 164))
-    return rows.select(F.col("vec_id").alias("pos_id"), "label")
+    """Positions of a range, read from the shards of a store that hold them."""
+    kept = store.Store(spark, store.work_dir(spark, "range"))
+    kept.append(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("pos_id"), "label"), SHARD)
+    return kept.read_range(100, 164).select("pos_id", "label")
+
+
+def typed_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    kept = store.Store(spark, store.work_dir(spark, "manifest"))
+    kept.append(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("pos_id"), "label"), SHARD)
+    return kept.shard_paths().withColumn("path", F.substring_index("path", "/", -2))
 
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,6 +300,7 @@ SQL = {
     "shard_offsets": SHARDS + "SELECT shard_index, lo, lo + num_tokens AS hi FROM off",
     "shard_lookup": SHARDS + "SELECT vec_id * 7 AS idx, shard_index, vec_id * 7 - lo AS local FROM embeddings JOIN off ON vec_id * 7 >= lo AND vec_id * 7 < lo + num_tokens",
     "range_read": "SELECT vec_id AS pos_id, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 164",
+    "typed_manifest": SHARDS + "SELECT shard_index, token_start, token_end, num_tokens, 'shards/shard_index=' || shard_index AS path FROM m",
     "batch_plan": SHARDS
     + "SELECT shard_index, b AS batch_idx, b * 32 AS start, least(32, num_tokens - b * 32)::BIGINT AS n_rows, ((shard_index::BIGINT + 1 + 3) * (48271 * 69621::BIGINT)) % 2147483647 AS order_shard, ((b + shard_index * 7919 + 1 + 3)::BIGINT * (48271 * 69621::BIGINT)) % 2147483647 AS order_batch FROM m, range(1000) t(b) WHERE (b + 1) * 32 <= num_tokens",
     "batch_count": SHARDS + "SELECT sum(num_tokens // 32)::BIGINT AS whole, sum((num_tokens + 31) // 32)::BIGINT AS with_ragged FROM m",
@@ -303,6 +312,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_long_document, paragraphs, paragraph_chunks, first_chunks, token_sequences, token_sequences_resume, tokenize_streams, content_tokens, align_two, align_three, align_report, aligned_store, align_completion, align_retention, single_stream_rows,
-        shard_manifest, shard_offsets, shard_lookup, range_read, batch_plan, batch_count, batch_collate, train_valid_split, slugify_names,
+        shard_manifest, shard_offsets, shard_lookup, range_read, typed_manifest, batch_plan, batch_count, batch_collate, train_valid_split, slugify_names,
     )
 }

@@ -130,8 +130,16 @@ class Store:
             rows = rows.select("shard_index", "pos_id", *wanted)
         return rows
 
+    def shard_paths(self) -> DataFrame:
+        """The manifest with each shard's folder in ``path``; no store yet is an error."""
+        if not self._exists("manifest"):
+            raise FileNotFoundError(f"no manifest below {self.root}")
+        return self.manifest().withColumn("path", F.concat(F.lit(f"{self.root}/shards/shard_index="), F.col("shard_index").cast("string")))
+
     def read_range(self, start: int, end: int) -> DataFrame:
-        return self.scan().where((F.col("pos_id") >= start) & (F.col("pos_id") < end))
+        """Rows of positions from ``start`` up to ``end``; the manifest says which shards are opened."""
+        held = [r.shard_index for r in self.manifest().where((F.col("token_end") > start) & (F.col("token_start") < end)).collect()]
+        return self.scan(shards=held).where((F.col("pos_id") >= start) & (F.col("pos_id") < end))
 
 
     def stream_dims(self) -> dict[str, int]:

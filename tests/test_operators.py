@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from actlens.__main__ import main
 from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
 from actlens.operators import batches, chunk, code, metrics, report
@@ -421,3 +422,20 @@ def test_stream_length(spark, tmp_path):
     rows = spark.range(26).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.col("id").cast("int").alias("k"))
     sink(rows, 0)
     assert len(sink) == 2 and sorted(r.pos_id for r in sink.epoch(1, first_batch=1).collect()) == list(range(12, 20))
+
+
+MODELS = (lambda s, t: np.array([[len(x), i + s] for i, x in enumerate(t)]), lambda s, t: np.array([len(x) for x in t]))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    some_docs(spark, 30).write.parquet(f"{tmp_path}/docs")
+    where, models = f"file://{tmp_path}", f"{__name__}:MODELS"
+    common = ["--documents", f"{where}/docs", "--model-names", "a", "b", "--hidden-sizes", "2", "2", "--hook-points", "h", "--models", models, "--target", "60", "--shard-size", "16"]
+    main(["aligned", "--store", f"{where}/s", "--length", "16", *common], spark)
+    main(["shared", "--store", f"{where}/t", "--length", "10", *common], spark)
+    main(["train", "--store", f"{where}/s", "--checkpoint", f"{where}/m", "--latents", "6", "--k", "2", "--batch", "8", "--valid", "0.3", "--auxk", "2"], spark)
+    for run in ("evaluate", "report"):
+        main([run, "--store", f"{where}/s", "--checkpoint", f"{where}/m", "--k", "2", "--output", f"{where}/{run}.json", "--positions", "40"], spark)
+    out = capsys.readouterr().out
+    assert out.count("positions in the store: 60") == 2 and "SELF  recon_a" in out and "n_positions: 40" in out
+    assert json.loads((tmp_path / "report.json").read_text())["regime_counts"].keys() == {"universal", "stream_specific", "dead", "ambiguous"}
