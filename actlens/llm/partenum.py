@@ -21,6 +21,10 @@ groups connect form one pool, so that a pair meets once however many signatures
 their sizes and parity sketches must reach the threshold: bits in which two sketches differ stand
 for at least as many differing elements.
 
+These links connect the components but aren't all links. As every link lies within a component, a last
+pass counts those of each component: its sets meet once more, one block against another, and the exact
+number of shingles that each two have in common decides. Only numbers of links leave a cell of two blocks.
+
 Sets are named by 64-bit digests of their shingles; equal sets are one node from the start, so a
 group of exact copies of any size is one row.
 """
@@ -44,6 +48,8 @@ from actlens.llm.words import U64, Hasher, mix, text_parts
 #: Largest group of sets whose pairs are looked at directly, and rows that the streaming pass holds.
 GROUP = 64
 BLOCK = 512
+#: Most sets and about as many shingles of a block of a component whose links are counted.
+LINK_BLOCK, LINK_SHINGLES = 1024, 1 << 18
 #: Bits of a sketch: the power of two at or above the set's size, within these.
 SKETCH_BITS = (1024, 1 << 17)
 LEVEL_BITS = 5
@@ -328,11 +334,76 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def node_groups(docs: DataFrame, scratch: Scratch, k: int, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs`` (doc_id, text): (doc_id, n, sid, sketch) of each row, and (sid, least, component_id, keeper, n_links) of each set.
+def shared_shingles(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each one of ``right``, or of ``left`` itself."""
+    sets = left + (right or [])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    start = np.flatnonzero(np.concatenate(([True], values[order][1:] != values[order][:-1])))
+    size = np.diff(np.append(start, len(values)))
+    kept = np.repeat(size > 1, size)  # a shingle of one set alone adds nothing
+    owner, column = owner[kept], np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+    common = np.zeros((len(left), len(right or left)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK):
+        lo, hi = np.searchsorted(column, (at, at + BLOCK))
+        has = np.zeros((len(sets), BLOCK), np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        common += (has[: len(left)] @ has[len(left) if right else 0 :].T).astype(np.int64)
+    return common
+
+
+def link_counts(roots: DataFrame, sets: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(sid, n_links): for the sets of each component, how many rows have a similar other set.
+
+    ``roots`` has (node, root), ``sets`` (sid, shingles) of the nodes at least. Work grows as the square of a component, rows
+    only as its power of 3/2: there are about half as many blocks as the root of its number of sets.
+    """
+    rows = roots.select(F.col("node").alias("sid"), F.col("root").alias("pool")).join(nodes.select("sid", "n", "copies"), "sid")
+    groups = rows.groupBy("pool").agg(F.count("*").alias("n_group"), F.sum("n").alias("n_shingles"))
+    least = F.when(F.col("n_group") <= GROUP, F.lit(1.0)).otherwise(F.sqrt("n_group") / 2)
+    blocks = F.ceil(F.greatest(least, F.col("n_group") / LINK_BLOCK, F.least(F.col("n_group"), F.col("n_shingles") / LINK_SHINGLES))).cast("int")
+    rows = rows.drop("n").join(redealt(groups.select("pool", blocks.alias("blocks")), "pool", "own_pool"), F.col("pool") == F.col("own_pool"))
+    # Block i meets block j >= i in the cell (pool, i, j).
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).join(sets, "sid")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pool", "sid", "copies", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    p, q = plan.p, plan.q
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+        for table in cells(batches):
+            sid, copies, mine = (table.column(c).to_numpy() for c in ("sid", "copies", "mine"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            if not len(left) or not len(right):
+                continue
+            size = np.array([len(s) for s in sets])
+            common = shared_shingles([sets[x] for x in left], [sets[x] for x in right] if i != j else None)
+            links = (q * common >= p * (size[left][:, None] + size[right][None, :] - common)) & (left[:, None] != right)
+            found = np.zeros(len(sid), np.int64)
+            found[left] += links @ copies[right]
+            if i != j:
+                found[right] += copies[left] @ links
+            held.append((sid[found > 0], found[found > 0]))
+            n_held += len(held[-1][0])
+            if n_held >= 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["sid", "n_links"])
+                held, n_held = [], 0
+        if n_held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["sid", "n_links"])
+
+    cells_of = rows.repartition("pool", "i", "j").sortWithinPartitions("pool", "i", "j")
+    return cells_of.mapInArrow(count, "sid long, n_links long").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+
+
+def node_groups(docs: DataFrame, scratch: Scratch, k: int, plan: Plan, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text): (doc_id, n, sid, sketch) of each row, and (sid, least, component_id, keeper) of each set.
 
     least is a set's smallest doc_id, component_id that of its component; keeper is the one set of the component
-    that has it, or else the one with the smallest name.
+    that has it, or else the one with the smallest name. If ``counted``, n_links is the number of other rows that each row
+    of the set links with.
     """
     meta = scratch.save(shingle_meta(docs, k), "meta")
     salted = hot_signatures(docs, plan, k)
@@ -346,9 +417,9 @@ def node_groups(docs: DataFrame, scratch: Scratch, k: int, plan: Plan) -> tuple[
     else:
         sigs = sigs.repartition("sig")
     rows = scratch.save(star_rows(sigs.sortWithinPartitions("sig", "sid"), salted), "stars", like=docs)
-    nodes = scratch.save(meta.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", ("meta",))
+    nodes = scratch.save(meta.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes", ("meta",))
     pairs = scratch.save(possible(rows.where("b IS NOT NULL").select("a", "b").distinct(), nodes, plan), "pairs", ("stars",))
-    links = verify(docs, pairs, plan, k, scratch, "links", "pairs")
+    links, sets = verify(docs, pairs, plan, k, scratch, "links", "pairs")
     roots = scratch.save(components(links, scratch, "first", of=("links",)), "roots", ("links",), 2)
 
     members = rows.where("b IS NULL").select("sig", F.col("a").alias("sid"), "frequent")
@@ -357,16 +428,22 @@ def node_groups(docs: DataFrame, scratch: Scratch, k: int, plan: Plan) -> tuple[
     more = possible(cross_pairs(small).distinct().join(pairs, ["a", "b"], "left_anti"), nodes, plan)
     hard = hard_pairs(labelled.where("frequent"), nodes, plan, scratch)
     more = scratch.save(more.union(hard).distinct(), "more", ("stars",))
-    more_links = verify(docs, more, plan, k, scratch, "more-links", "more")
+    more_links, more_sets = verify(docs, more, plan, k, scratch, "more-links", "more")
     links = links.union(more_links)
     roots = scratch.save(components(links, scratch, "second", of=("links", "more-links")), "all-roots", ("links", "more-links"), 2)
     scratch.drop("stars", "pairs", "more", "hot", "hard", "pooled", "hard-pairs", "roots")
+    if counted:
+        sets = sets.union(more_sets.join(sets.select("sid"), "sid", "left_anti"))
+        degree = scratch.save(link_counts(roots, sets, nodes, plan), "degrees", ("all-roots",), 2)
+    scratch.drop("links-sets", "more-links-sets")
 
-    named = nodes.select("sid", "least").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = nodes.select("sid", "least", "copies").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sid")).alias("x")
     least = named.groupBy("root").agg(first).select("root", F.col("x.least").alias("component_id"), F.col("x.sid").alias("keeper"))
-    degree = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
-    sets = named.join(redealt(least, "root", "own_root"), F.col("root") == F.col("own_root")).join(degree, "sid", "left").select("sid", "least", "component_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sets = named.join(redealt(least, "root", "own_root"), F.col("root") == F.col("own_root")).select("sid", "least", "component_id", "keeper", "copies")
+    if counted:
+        n_links = (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+        sets = sets.join(degree, "sid", "left").select("sid", "least", "component_id", "keeper", n_links)
     return meta, scratch.save(sets, "sets", ("nodes",))
 
 
@@ -375,8 +452,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, k: int = 5, plan: Plan | None
 
     Rows link when the Jaccard similarity of their sets of distinct ``k``-word shingles is at least
     the plan's, exactly; texts of fewer words are one shingle as a whole. component_id is the smallest
-    doc_id that is reachable by links, the row's own included. n_links counts the verified links of
-    the row's set to other sets, which connect the component but need not be all that exist.
+    doc_id that is reachable by links, the row's own included. n_links is the number of all other rows
+    that the row links with, rows with an equal set among them.
 
     A null or wordless text has the empty set, no links and its own doc_id as component. A null doc_id
     takes part as any other but is never the smallest. Rows repeated with one doc_id stay as many rows.
@@ -408,7 +485,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, plan: Plan | None =
     empty table stays empty.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    meta, sets = node_groups(slim, scratch, k, plan or Plan())
+    meta, sets = node_groups(slim, scratch, k, plan or Plan(), counted=False)
     keepers = scratch.save(sets.where("sid = keeper").select("sid", "least"), "keepers", ("nodes",))
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), set_names(k)(F.col("text").cast("string")).alias("sid"))
     kept = whole.join(keepers, "sid", "left").where("sid IS NULL OR doc_id <=> least").select("row", "sid")
@@ -420,12 +497,10 @@ def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, plan: Plan | None =
     return scratch.fit(kept.select("row.*"), like=docs)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, plan: Plan, k: int, scratch: Scratch, name: str, of: str) -> DataFrame:
-    """A saved table of the pairs that are similar; ``of`` is the name of theirs."""
+def verify(docs: DataFrame, pairs: DataFrame, plan: Plan, k: int, scratch: Scratch, name: str, of: str) -> tuple[DataFrame, DataFrame]:
+    """Saved tables of the pairs that are similar and of the sets of all pairs; ``of`` is the name of theirs."""
     sets = scratch.save(sets_of(docs, pairs.select("a").union(pairs.select("b")), k), f"{name}-sets", like=docs)
-    links = scratch.save(verified(pairs, sets, plan), name, (of, f"{name}-sets"))
-    scratch.drop(f"{name}-sets")
-    return links
+    return scratch.save(verified(pairs, sets, plan), name, (of, f"{name}-sets")), sets
 
 
 def hard_pairs(frequent: DataFrame, nodes: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:

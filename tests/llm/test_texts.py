@@ -114,6 +114,22 @@ def test_near_copies_edges(spark):
     assert sorted(((r.doc_id, r.text is None) for r in kept), key=key) == sorted([(7, False), (3, True), (None, True), (None, False), (4, False), (4, False)], key=key)
 
 
+@pytest.mark.parametrize("group", [64, 3])
+def test_all_links(spark, monkeypatch, group):
+    """Every link counts, also those between texts that others connect, and copies."""
+    monkeypatch.setattr(partenum, "GROUP", group)
+    monkeypatch.setattr(partenum, "LINK_BLOCK", 3 if group == 3 else 1024)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[: 55 - r.randint(0, 12)], *(f"v{r.randint(0, 9)}" for _ in range(r.randint(0, 3)))]) for _ in range(25)]
+    texts = near + near[:4] + corpus() + ["x y", "X y", "", None]
+    sets = [shingles(t) for t in texts]
+    links = [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert sum(links[:25]) > 100
+    got = partenum.near_copies(frame(spark, texts, True), Scratch(spark, "t")).collect()
+    assert {x.doc_id: x.n_links for x in got} == dict(enumerate(links))
+
+
 def test_keep_one(spark):
     texts = corpus()
     kept = partenum.keep_one(frame(spark, texts, True), Scratch(spark, "t"))
