@@ -1,6 +1,7 @@
 """Text operators against brute force, and models on held-out rows."""
 
 import collections
+import importlib
 import random
 import re
 
@@ -166,6 +167,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_dense(spark, monkeypatch):
+    """Dense components cost as many edges as they have nodes, not as many as they have pairs."""
+    monkeypatch.setattr(importlib.import_module("actlens.llm.components"), "HELD", 50)
+    r = random.Random(6)
+    groups = [r.sample(range(10_000 * g - 5000, 10_000 * g + 5000), 40) for g in range(4)]
+    edges = [(a, b) for g in groups for a in g for b in g] + [(x, x + 1) for x in range(90_000, 90_120)]
+    want = {x: min(g) for g in groups for x in g} | dict.fromkeys(range(90_000, 90_121), 90_000)
+    scratch, sizes = Scratch(spark, "t"), []
+    save = scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, *a, **k: (out := save(df, *a, **k), sizes.append(out.count()))[0])
+    r.shuffle(edges)
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long").coalesce(2), scratch).collect()}
+    assert got == want and max(sizes) < 2000 < len(edges) / 3
+
+
 def test_passages(spark):
     texts = corpus()
     r, v = random.Random(9), vocabulary(300, 5)
