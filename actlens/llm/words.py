@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes of text that are hashed at a time, in arrays of about 40 times that.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def text_parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_parts(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a string array with at most ``limit`` bytes, or one text: first row, bytes, offsets from 0.
 
     A null is an empty text.
@@ -77,7 +79,7 @@ class Hasher:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, PIECE)
             for name, by in (("_up", self.base), ("_down", self.inverse)):
                 x = np.full(size, by, np.uint64)
                 x[0] = 1

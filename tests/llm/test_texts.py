@@ -4,6 +4,7 @@ import collections
 import importlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,18 @@ def test_words_and_shingles():
                 assert seen.setdefault(frozenset(shingles(texts[at + i])), tuple(s)) == tuple(s)
 
 
+def test_words_take_little_memory():
+    """Many texts of a batch are hashed in small pieces: six workers share an executor's memory with its JVM."""
+    texts, hasher = pa.array(["some words of a text " * 100] * 2000), Hasher()
+    tracemalloc.start()
+    try:
+        n = sum(len(hasher.words(data, offsets).digest) for _, data, offsets in text_parts(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_000_000 and peak < 32 << 20
+
+
 def brute_components(texts, ids=None):
     sets, ids = [shingles(t) for t in texts], ids or list(range(len(texts)))
     parent = list(range(len(texts)))
