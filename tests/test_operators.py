@@ -10,6 +10,7 @@ from actlens.__main__ import main
 from actlens.functions import vectors as V
 from actlens.functions.text import cell, file_slug, normalized, parameter_slug
 from actlens.operators import batches, chunk, code, metrics, report
+from actlens.operators.align import tokenizers
 from actlens.operators.model import Model, Plain
 from actlens.operators.train import AdamW, calibrate, reinit_dead, train, train_plain
 from actlens.plans import entries
@@ -129,6 +130,16 @@ def test_token_windows_of_repeated_ids(spark):
     assert [r.piece for r in chunk.token_windows(docs.where("doc_id = 0"), 1, eos=None).orderBy("seq").collect()] == ["a", " b"]
 
 
+def test_token_windows_bound_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(chunk, "PART", 2_000, raising=False)
+    docs = spark.createDataFrame([(i * 5 - 300, f"w{i} " * 40) for i in range(400)] + [(None, "n")], "doc_id long, text string")
+    got = chunk.token_windows(docs, 16).withColumn("task", F.spark_partition_id()).toPandas()
+    held = got.groupby("task")["piece"].apply(lambda p: len("".join(p)))
+    assert held.max() < 4 * 2_000  # of 70 KB
+    want = ["n", "<eos>", *(p for i in range(400) for p in [*tokenizers([0])[0](f"w{i} " * 40), "<eos>"])]
+    assert list(got.sort_values(["seq", "pos"])["piece"]) == want[: len(want) // 16 * 16]
+
+
 def test_store_forgets_what_a_broken_run_left(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.append(store_rows(spark, 4), 4)
