@@ -13,7 +13,7 @@ from actlens.operators import batches, chunk, code, metrics, report
 from actlens.operators.align import tokenizers
 from actlens.operators.model import Model, Plain
 from actlens.operators.train import AdamW, calibrate, reinit_dead, train, train_plain
-from actlens.plans import entries
+from actlens.plans import entries, texts
 from actlens.sources.stop import StopOnSignal
 from actlens.sources.store import Store, StoreConfig, locate, split_shard_ids
 from actlens.sources.types import numpy_type, spark_type
@@ -140,6 +140,17 @@ def test_token_windows_bound_what_a_task_holds(spark, monkeypatch):
     assert list(got.sort_values(["seq", "pos"])["piece"]) == want[: len(want) // 16 * 16]
 
 
+def test_resumed_sequences_have_no_row_a_token(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk, "PART", 3_000, raising=False)
+    docs = [(i, f"v{i} " * (20 + 900 * (i == 7))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = texts.token_sequences_resume(spark, str(tmp_path))
+    assert "posexplode" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = [p for _, t in docs for p in [*tokenizers([0])[0](t), "<eos>"]][texts.SKIP :]
+    cut = [want[i : i + texts.WINDOW] for i in range(0, len(want) // texts.WINDOW * texts.WINDOW, texts.WINDOW)]
+    assert [tuple(r) for r in rows.orderBy("seq").collect()] == [(i, len(w), len("".join(w)), w[0]) for i, w in enumerate(cut)]
+
+
 def test_store_forgets_what_a_broken_run_left(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.append(store_rows(spark, 4), 4)
