@@ -3,6 +3,7 @@ import random
 import pytest
 
 from actlens.functions.text import PIECES, normalize
+from actlens.operators import align
 from actlens.operators.align import align_boundaries, align_exact, tokenizers
 
 
@@ -89,3 +90,25 @@ def test_tokenizers_join_to_the_text():
 
 def test_normalize():
     assert [normalize(x) for x in ("HELLO", "  hello   world  ", "ﬁle")] == ["hello", "hello world", "file"]
+
+
+def texts_of(r, n):
+    parts = ["a", "B", "19", ".", "-", " ", " ", "\n", "é", "漢", "\u3000", "\xa0", "😀", "\t", "ß", "ﬁ", "\u0301", "x" * 30, "y" * 51]
+    return ["".join(r.choice(parts) for _ in range(r.choice((0, 3, 20, 60)))) for _ in range(n)]
+
+
+def test_many_chunks_in_plain_columns(spark):
+    """Ends and windows of many chunks at once are those of the walk over one."""
+    texts = texts_of(random.Random(3), 300)
+    chunks = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, chunk_text string").selectExpr("doc_id", "1 AS chunk_idx", "chunk_text").coalesce(1)
+    got = {}
+    for r in align.align_ends(chunks, windows=(1,)).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_idx, r.k, [r.end0, r.end1, r.end2], r.window1, r.completed))
+    broken = 0
+    for i, text in enumerate(texts):
+        pieces = [f(text) for f in tokenizers((0, 1, 2))]
+        want = exact_pieces(pieces, align.MAX_WINDOW)
+        broken += not want.completed
+        rows = zip(want.starts[1], *want.ends, strict=True)
+        assert got.get(i, []) == [(1, k, list(e), "".join(pieces[1][s : e[1] + 1]), want.completed) for k, (s, *e) in enumerate(rows)]
+    assert broken > 10 and 300 not in got
