@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from actlens.functions import text as T
 from actlens.functions.text import PIECES, normalize
 from actlens.operators import align
 from actlens.operators.align import align_boundaries, align_exact, tokenizers
@@ -112,3 +113,14 @@ def test_many_chunks_in_plain_columns(spark):
         rows = zip(want.starts[1], *want.ends, strict=True)
         assert got.get(i, []) == [(1, k, list(e), "".join(pieces[1][s : e[1] + 1]), want.completed) for k, (s, *e) in enumerate(rows)]
     assert broken > 10 and 300 not in got
+
+
+def test_pieces_begin_where_the_patterns_say(spark):
+    texts = texts_of(random.Random(9), 400)
+    code, first = align.code_points(texts)
+    for i, f in enumerate(tokenizers((0, 1, 2))):
+        want = [at + sum(map(len, p[:k])) for at, p in zip(first.tolist(), map(f, texts)) for k in range(len(p))]
+        assert T.piece_starts(code, first, i).tolist() == want
+    assert T.piece_starts(*align.code_points(["", ""]), 1).tolist() == []
+    chunks = spark.createDataFrame([(5, 2, "ab cd")], "doc_id long, chunk_idx int, chunk_text string")
+    assert [tuple(r) for r in align.align_ends(chunks, (0, 1)).collect()] == [(5, 2, 0, 0, 0, True), (5, 2, 1, 1, 1, True)]
