@@ -124,3 +124,18 @@ def test_pieces_begin_where_the_patterns_say(spark):
     assert T.piece_starts(*align.code_points(["", ""]), 1).tolist() == []
     chunks = spark.createDataFrame([(5, 2, "ab cd")], "doc_id long, chunk_idx int, chunk_text string")
     assert [tuple(r) for r in align.align_ends(chunks, (0, 1)).collect()] == [(5, 2, 0, 0, 0, True), (5, 2, 1, 1, 1, True)]
+
+
+def test_summary_of_many_chunks(spark, monkeypatch):
+    """Whatever number of characters is aligned at once, also beside empty, null and long chunks."""
+    texts = [*texts_of(random.Random(4), 200), None, "z" * 5000, ""]
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    want = []
+    for i, t in enumerate(texts):
+        pieces = [f(t or "") for f in tokenizers((0, 1, 2))]
+        met = exact_pieces(pieces, align.MAX_WINDOW)
+        want.append((i, [len(p) for p in pieces], len(met.ends[0]), met.completed))
+    for size in (1, 500, 1 << 17):
+        monkeypatch.setattr(align, "AT_ONCE", size)
+        chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, chunk_text string").coalesce(1)
+        assert [(r.doc_id, r.n_tokens, r.n_aligned, r.completed) for r in align.align_summary(chunks).collect()] == want
