@@ -49,16 +49,16 @@ def config_of(names: Sequence[str], hidden: Sequence[int], hooks: Sequence[str],
 def preprocess_aligned(spark: SparkSession, docs: DataFrame, root: str, config: StoreConfig, extract: Extract, token_id: Extract, target: int, max_tokens: int = 512, shards_a_step: int = 64, streams: Sequence[int] = (0, 1, 2), stop: StopOnSignal | None = None) -> int:
     """Writes aligned positions up to ``target`` into the store at ``root``; returns how many it holds.
 
-    Positions have a fixed order (document, chunk, match), so those committed before are passed over. Alignment runs once, into
-    a table; steps of ``shards_a_step`` shards are appended from it, as the order of its files lets each step read its part.
+    Positions have a fixed order (document, chunk, match), so those committed before are passed over. All documents are aligned
+    once to count positions, and those with a position that is wanted once more, into a table; steps of ``shards_a_step`` shards
+    are appended from it, as the order of its files lets each step read its part.
     """
     store = Store(spark, root)
     store.write_config(config)
     done = store.committed()[0]
     if done >= target:
         return done
-    rows = align.gather_aligned(chunk.paragraph_chunks(docs, max_tokens), streams, extract, token_id, config.max_window).withColumn("n", F.lit(1).cast("long"))
-    rows = chunk.running(rows, ["doc_id", "chunk_idx", "k"]).withColumnRenamed("start", "pos_id").where((F.col("pos_id") >= done) & (F.col("pos_id") < target))
+    rows = align.gather_positions(docs, max_tokens, streams, extract, token_id, config.max_window, done, target)
     tokens = [F.col("last_tok")[i].cast(spark_type(config.token_dtype)).alias(f"last_tok_{m['slug']}") for i, m in enumerate(config.models)]
     values = [F.col("vectors")[f"v{s}"].cast(f"array<{spark_type(config.dtype)}>").alias(f"model_{m['slug']}") for s, m in zip(streams, config.models, strict=True)]
     return _append(store, rows.select("pos_id", *tokens, *values), config.shard_size_tokens, shards_a_step, stop)

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from actlens.functions import text as T
 from actlens.functions.text import PIECES, normalize
-from actlens.operators import align
+from actlens.operators import align, chunk
 from actlens.operators.align import align_boundaries, align_exact, tokenizers
 
 
@@ -139,3 +141,37 @@ def test_summary_of_many_chunks(spark, monkeypatch):
         monkeypatch.setattr(align, "AT_ONCE", size)
         chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, chunk_text string").coalesce(1)
         assert [(r.doc_id, r.n_tokens, r.n_aligned, r.completed) for r in align.align_summary(chunks).collect()] == want
+
+
+def test_positions_of_all_matches(spark, monkeypatch):
+    """Numbered over documents, chunks and matches in bounded parts; vectors are made for the wanted chunks alone."""
+    monkeypatch.setattr(chunk, "PART", 2_000, raising=False)
+    r = random.Random(8)
+    docs = [(i * 3 - 90, "\n".join(t for t in texts_of(r, r.choice((0, 1, 9))))) for i in range(120)]
+    docs += [(None, "n o"), (500, "p q"), (500, "p q"), (500, "r s"), (501, None)]
+    table = spark.createDataFrame(r.sample(docs, len(docs)), "doc_id long, text string")
+
+    def number(stream, toks):
+        return np.array([ord(t[0]) for t in toks])
+
+    def vectors(stream, toks):
+        return np.stack([np.arange(len(toks)) + stream, list(map(len, toks))], axis=1)
+
+    def strict(stream, toks):
+        assert len(toks) < 0, "not wanted"
+
+    def plain(rows):
+        return [(p.pos_id, p.last_tok, [p.vectors.v0, p.vectors.v2]) for p in rows.orderBy("pos_id").collect()]
+
+    chunks = sorted(((-1000 if c.doc_id is None else c.doc_id, c.chunk_idx, c.chunk_text) for c in chunk.paragraph_chunks(table, 16).collect()))
+    cut, want = tokenizers((0, 2)), []
+    for *_, text in chunks:
+        pieces = [f(text) for f in cut]
+        for ends in zip(*exact_pieces(pieces, align.MAX_WINDOW).ends, strict=True):
+            want.append((len(want), [ord(p[e][0]) for p, e in zip(pieces, ends)], [[e + s, len(p[e])] for s, p, e in zip((0, 2), pieces, ends)]))
+    every = align.gather_positions(table, 16, (0, 2), vectors, number)
+    held = every.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert plain(every) == want and len(held) > 4 and max(t["count"] for t in held) < len(want) / 2
+    assert plain(align.gather_positions(table, 16, (0, 2), vectors, number, low=7, high=1000)) == want[7:1000]
+    assert plain(align.gather_positions(table, 16, (0, 2), strict, number, low=len(want), high=len(want) + 9)) == []
+    assert plain(align.gather_positions(table.where("doc_id = 501"), 16, (0, 2), strict, number)) == []
